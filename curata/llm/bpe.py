@@ -183,27 +183,34 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", slice_
     return encoded.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, slice_chars: int = 1 << 20) -> DataFrame:
-    """Per row doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, so that ids need not leave the worker."""
+def encoded_with_digests(docs: DataFrame, path: str, pattern: str, slice_chars: int = 1 << 20, columns: tuple = ("doc_id", "lang", "source"), ids: bool = True) -> DataFrame:
+    """Per row the named columns, n_tokens, ids, ids_sha256, decoded_sha256: encoding and decoding in one pass, so that without
+    `ids` they do not leave the worker."""
+    base = docs.select(*columns, "text")
+    kinds = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in columns)
+    names = [*columns, "n_tokens", *(["ids"] if ids else []), "ids_sha256", "decoded_sha256"]
 
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            out: list[list] = [[], [], []]
             for a, b in slices(texts, slice_chars):
-                for packed in map(own.packed, texts[a:b]):
-                    ids = np.frombuffer(packed, "<u4").tolist()
-                    out[0].append(len(ids))
-                    out[1].append(hashlib.sha256(packed).hexdigest())
-                    out[2].append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                packed = [own.packed(t) for t in texts[a:b]]
+                numbers = [np.frombuffer(p, "<u4") for p in packed]
+                ends = np.cumsum([0, *map(len, numbers)])
+                out = [pa.array(np.diff(ends), pa.int64())]
+                if ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(numbers).astype(np.int32))))
+                out.append(pa.array([hashlib.sha256(p).hexdigest() for p in packed]))
+                out.append(pa.array([hashlib.sha256(own.decode_bytes(n.tolist())).hexdigest() for n in numbers]))
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *out], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return base.mapInArrow(run, f"{kinds}, n_tokens long, {'ids array<int>, ' if ids else ''}ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encoded_with_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, columns=("doc_id",), ids=False)
