@@ -2,8 +2,9 @@
 
 Sketch: the hashes of a document's shingles are dealt over `buckets`; a bucket keeps the smallest hash as its count of leading zeros and the
 `MANTISSA` bits after them (16 bits in all). Registers are cut into bands; documents that agree on a band are candidates. A candidate
-pair whose collision-corrected Jaccard estimate is far below the threshold is dropped when both sets are large (six standard deviations of
-the estimate), every other one is confirmed on the shingle sets of the whole texts.
+pair is dropped where its sketches rule it out: two registers differ only if a shingle that one document lacks fell there, so more differing
+registers than a pair at the threshold can have differing shingles decide it without loss; where both sets are large, so does a
+collision-corrected Jaccard estimate six standard deviations below the threshold. Every other pair is confirmed on the shingle sets of the whole texts.
 
 Documents with equal shingle sets form one class and only its smallest doc_id goes on. Inside a band the members are first compared
 with one hub each, so that a group of near copies costs one comparison per member; after that only pairs that lie in different
@@ -11,8 +12,7 @@ components are compared, first with the hub of each band, then all that are left
 where its documents already have the same component, which is all that the result says of it.
 
 Defined results: null and empty texts and texts of white space have no shingles and link with nothing; a text with fewer words than a shingle has the whole
-sequence as its one shingle; whole texts of any length are read; rows with equal texts fall in one class; rows that repeat a doc_id are one node and each
-give a row; a null doc_id links with nothing and stays; an empty table gives an empty result; extra columns are ignored.
+sequence as its one shingle; whole texts of any length are read; rows with equal texts fall in one class; rows that repeat a doc_id each give a row (of such rows with different texts, one stands for the doc_id in links); a null doc_id links with nothing and stays; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,6 +90,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     return (int((used & (a == b)).sum()) / seen - chance) / (1 - chance)
 
 
+def most_differing(n, m, percent: int):
+    """Most shingles that one of two documents with sets of n and m can lack at the threshold: the union holds at most
+    (n + m) / (1 + t), of which the share 1 - t differs."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
 def sketches(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """Per row: doc_id, n_shingles, two hashes of the set, registers."""
 
@@ -116,9 +122,9 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             keep = []
             for ra, rb, n, m in zip(*(batch.column(c).to_pylist() for c in ("ra", "rb", "na", "nb")), strict=True):
                 low, high = min(n, m), max(n, m)
-                ok = 100 * low >= percent * high
+                x, y = np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16)
+                ok = 100 * low >= percent * high and int((x != y).sum()) <= most_differing(n, m, percent)
                 if ok and low >= 400:
-                    x, y = np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16)
                     t = percent / 100
                     ok = estimate(x, y, n, m) >= t - 6 * math.sqrt(t * (1 - t) / min(len(x), low))
                 keep.append(ok)
@@ -211,9 +217,10 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
             q, low = q[100 * low >= percent * high], low[100 * low >= percent * high]
             if not len(q):
                 continue
-            used = (regs[q] != EMPTY) | (regs[p] != EMPTY)
-            raw = (used & (regs[q] == regs[p])).sum(1) / np.maximum(used.sum(1), 1)
-            q = q[(low < 400) | (raw >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(regs.shape[1], low)))]
+            differ = (regs[q] != regs[p]).sum(1)
+            seen = np.maximum(((regs[q] != EMPTY) | (regs[p] != EMPTY)).sum(1), 1)
+            fits = differ <= most_differing(sizes[q], sizes[p], percent)
+            q = q[fits & ((low < 400) | (1 - differ / seen >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(regs.shape[1], low))))]
             out_a.append(np.minimum(ids[q], ids[p]))
             out_b.append(np.maximum(ids[q], ids[p]))
         flat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
