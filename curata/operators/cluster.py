@@ -39,7 +39,7 @@ def _by_component(rows: DataFrame, links: DataFrame, solve, schema: str) -> Data
     """rows (id, label); solve gets the ids in order, their labels and neighbours, and the pairs in order."""
     named = components(links)
     nodes = rows.join(named.withColumnRenamed("node", "id"), "id").select("id", "label", "component")
-    edges = links.join(named.withColumnRenamed("node", "a"), "a").select("a", "b", "component")
+    edges = links.join(named.select(F.col("node").alias("a"), (F.col("component") + 0).alias("component")), "a").select("a", "b", "component")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("id")
