@@ -49,8 +49,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = 3) ->
     cap = F.lit(float(max_epochs)) * F.col("source_size")
     rows = rows.withColumn("cap", cap).withColumn("total", F.sum("source_size").over(everything))
     rows = rows.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(done), F.lit(0.0))) / F.sum("weight").over(rest))
-    level = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(everything)
-    rows = rows.withColumn("level", level)
+    level = F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(everything)
+    rows = rows.withColumn("level", level)  # past the first source that stays below its cap the levels only fall
     return rows.select("source", "source_size", "weight", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
@@ -108,7 +108,7 @@ o AS (
   SELECT *, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER () AS total,
     coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done,
     sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s),
-l AS (SELECT min((total - done) / rest) FILTER (WHERE (total - done) / rest <= cap / weight) AS level FROM o),
+l AS (SELECT max((total - done) / rest) FILTER (WHERE (total - done) / rest <= cap / weight) AS level FROM o),
 q AS (SELECT source, source_size, coalesce(least(cap, level * weight), cap)::DOUBLE AS target FROM o, l),
 p AS (
   SELECT k.doc_id, k.source, k.size, source_size, target, sum(k.size) OVER (PARTITION BY k.source ORDER BY sampling_key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto,

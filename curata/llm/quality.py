@@ -101,7 +101,7 @@ def _fired(vote: np.ndarray) -> np.ndarray:
     return vote[..., None] == np.arange(CLASSES + 1)
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM over distinct vote patterns (rows) and their counts. Returns the posterior of each pattern, class shares, and confusion
     [labeller, class, vote]. It starts from the votes: a class that any labeller names beats good."""
     fired = _fired(patterns)[:, :, :CLASSES]  # an abstention says nothing

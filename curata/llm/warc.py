@@ -71,13 +71,13 @@ def header_block(kind: Column, page_id: Column, url: Column, digest: Column, len
 
 def write_archive(pages: DataFrame, archive: Archive, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> Archive:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = Window.partitionBy("digest").orderBy(F.col("page_id").desc_nulls_last())
     store = rows.select("digest", "page_id", "payload", F.row_number().over(first).alias("place")).where("place = 1")
     store = store.select("digest", F.col("page_id").alias("response_id"), "payload")
     writer = store.write.format("parquet").option("compression", "zstd").bucketBy(archive.buckets, "digest").sortBy("digest")
     writer.option("path", f"{archive.path}/payloads").saveAsTable(archive.payload_table)
-    roots = archive.spark.read.parquet(f"{archive.path}/payloads").select("digest", "response_id")
+    roots = archive.spark.read.schema("digest string, response_id long").parquet(f"{archive.path}/payloads")
     facts = rows.select("page_id", "url", "digest", F.length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1"))
     records = facts.join(roots, "digest")
     is_response = F.col("page_id").eqNullSafe(F.col("response_id")) | (F.col("n") < min_revisit_bytes)
