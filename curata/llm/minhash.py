@@ -182,17 +182,18 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(candidates, "doc_id", "left_semi")
     texts = materialise(texts.dropDuplicates(["doc_id"]) if _repeats(reps, rows) else texts, "texts")
 
-    # first: each document with the smallest hub that its sketch allows
-    stars = materialise(_likely(members.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), reps, percent), "stars")
-    tried = materialise(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    # first: each document with its smallest hub
+    hubs = members.where("hub <> doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    tried = materialise(_likely(hubs, reps, percent), "tried")
     links = materialise(_confirmed(tried, texts, width, percent), "confirmed")
     labels = materialise(components(links), "labels")
 
-    # then: other hubs whose component is another one
-    cross = lambda pairs: _cross(pairs, labels)
-    more = cross(stars.join(tried, ["a", "b"], "left_anti"))
-    more = materialise(more, "more")
-    links = links.union(materialise(_confirmed(more, texts, width, percent), "confirmed"))
+    # then: the hubs of bands that still hold more than one component
+    named = _labelled(members, labels)
+    open_bands = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    others = members.join(open_bands, "key").where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = materialise(_likely(_cross(others, labels), reps, percent), "stars")
+    links = links.union(materialise(_confirmed(stars.join(tried, ["a", "b"], "left_anti"), texts, width, percent), "confirmed"))
     labels = materialise(components(links), "labels")
 
     # last: what is left inside a band across components, block by block
@@ -227,7 +228,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
         return pa.table({"a": flat(out_a), "b": flat(out_b)})
 
     rest = left.groupBy("key", "i", "j").applyInArrow(solve, "a long, b long").distinct()
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    known = stars.union(tried).distinct().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(known, ["a", "b"], "left_anti"), "rest")
     found = materialise(_confirmed(rest, texts, width, percent), "confirmed")
     if not found.isEmpty():
