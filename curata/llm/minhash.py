@@ -8,7 +8,8 @@ collision-corrected Jaccard estimate six standard deviations below the threshold
 
 Documents with equal shingle sets form one class and only its smallest doc_id goes on. Inside a band the members are first compared
 with one hub each, so that a group of near copies costs one comparison per member; after that only pairs that lie in different
-components are compared, first with the hub of each band, then all that are left, in blocks of bounded size. Nothing is capped: a pair is left unconfirmed only
+components are compared, first with the hub of each band, then all that are left, in blocks of bounded size, each pair only in the first band that both
+share. Nothing is capped: a pair is left unconfirmed only
 where its documents already have the same component, which is all that the result says of it.
 
 Defined results: null and empty texts and texts of white space have no shingles and link with nothing; a text with fewer words than a shingle has the whole
@@ -61,11 +62,27 @@ def sketch(shingles: np.ndarray, buckets: int) -> np.ndarray:
 
 def band_keys(registers: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key for each band that holds a register; the key depends on the band's number."""
+    return all_band_keys(registers, bands)[_used(registers.reshape(bands, -1))]
+
+
+def _used(rows: np.ndarray) -> np.ndarray:
+    return (rows != EMPTY).any(-1)
+
+
+def all_band_keys(registers: np.ndarray, bands: int) -> np.ndarray:
+    """The keys of all bands, empty ones too."""
     rows = registers.reshape(bands, -1)
     with np.errstate(over="ignore"):
         keys = mix((rows.astype(np.uint64) + np.uint64(1)) * _ODD[: rows.shape[1]])
         keys = mix(keys.sum(1) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return keys[(rows != EMPTY).any(1)].view(np.int64)
+    return keys.view(np.int64)
+
+
+def first_shared(one: np.ndarray, others: np.ndarray, bands: int) -> np.ndarray:
+    """The number of the first band that holds a register and is equal in `one` and in each row of `others`; -1 for none."""
+    mine, rows = one.reshape(bands, -1), others.reshape(len(others), bands, len(one) // bands)
+    same = (rows == mine).all(2) & _used(mine)
+    return np.where(same.any(1), same.argmax(1), -1)
 
 
 @lru_cache(4096)
@@ -206,10 +223,11 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
     left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "registers")
 
     def solve(key, group):
-        _, i, j = (k.as_py() for k in key)
+        at, i, j = (k.as_py() for k in key)
         ids, parts, sizes, own = (np.asarray(group.column(c)) for c in ("doc_id", "component", "n_shingles", "own"))
         regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
         t, out_a, out_b = percent / 100, [], []
+        band = int(np.flatnonzero(all_band_keys(regs[0], bands) == at)[0])
         right = np.flatnonzero(own == j)
         for p in np.flatnonzero(own == i):
             q = right[right > p] if i == j else right
@@ -222,6 +240,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
             seen = np.maximum(((regs[q] != EMPTY) | (regs[p] != EMPTY)).sum(1), 1)
             fits = differ <= most_differing(sizes[q], sizes[p], percent)
             q = q[fits & ((low < 400) | (1 - differ / seen >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(regs.shape[1], low))))]
+            q = q[first_shared(regs[p], regs[q], bands) == band]
             out_a.append(np.minimum(ids[q], ids[p]))
             out_b.append(np.maximum(ids[q], ids[p]))
         flat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())

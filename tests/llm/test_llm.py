@@ -89,6 +89,19 @@ def test_licences(spark):
     assert got == {1: (["All-Rights-Reserved", "MIT"], "mit-notice"), 2: ([], None), 3: (["GPL-3.0"], "gpl-3.0-full")}
 
 
+def test_pairs_of_a_group_meet_in_one_band():
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 3, 192).astype(np.uint16)
+    one[:12] = minhash.EMPTY
+    others = np.stack([np.where(rng.random(192) < share, one, rng.integers(0, 3, 192)).astype(np.uint16) for share in (1, 0.95, 0.8, 0)])
+    got = minhash.first_shared(one, others, 32)
+    for row, first in zip(others, got, strict=True):
+        mine, its = minhash.all_band_keys(one, 32), minhash.all_band_keys(row, 32)
+        shared = [b for b in range(32) if mine[b] == its[b] and (one.reshape(32, 6)[b] != minhash.EMPTY).any()]
+        assert first == (shared[0] if shared else -1)
+    assert got[0] == 2 and set(minhash.band_keys(one, 32)) == set(minhash.all_band_keys(one, 32)[2:])
+
+
 def test_quality_on_labels_and_edges(spark, odd):
     sf = "/root/testdata/sf0.01"
     judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
