@@ -14,6 +14,8 @@ whole; repeated rows are judged alike; an empty table gives an empty result; ext
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +38,9 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.sort(hash_spans(*word_spans(joined)))
 
 
-_STOP, _BAD, _STEMS = _hashes(STOP_WORDS), _hashes(INSULTS), [(len(s.encode()), _hashes([s])) for s in ABUSE_STEMS]
+_STOP, _BAD = _hashes(STOP_WORDS), _hashes(INSULTS)
+#: A stem at the start of a word; no stem starts another, so a word counts once.
+_STEM = re.compile(b"(?<![^\x20\x09-\x0D])(?:" + b"|".join(s.encode() for s in ABUSE_STEMS) + b")")
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,;:!?\"'()[]*$#%&|-")] = True
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -45,14 +49,21 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"*$#%&|~^=+<>@_{}\\")] = True
 
 
-def look(text: str | None) -> tuple[int, list[int], np.ndarray]:
-    """Number of words, the votes, and the feature numbers of a whole text: those of its votes, then distinct ones of words and shapes."""
+def _among(words: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which words are in a short sorted table."""
+    return table[np.minimum(np.searchsorted(table, words), len(table) - 1)] == words
+
+
+def look(text: str | None, wanted: bool = True) -> tuple[int, list[int], np.ndarray]:
+    """Number of words, the votes, and the feature numbers of a whole text: those of its votes, then distinct ones of words and shapes
+    (none unless wanted)."""
     data = (text or "").encode("utf-8", "surrogatepass")
     raw, starts, ends = word_spans(data)
     n = len(starts)
     if not n:
         return 0, [ABSTAIN] * len(LABELLERS), np.zeros(0, np.int64)
-    low = np.frombuffer(data.lower(), np.uint8)
+    lower = data.lower()
+    low = np.frombuffer(lower, np.uint8)
     cut = ends.copy()
     for _ in range(4):
         cut = cut - ((cut - 1 > starts) & _TRIM[raw[cut - 1]])
@@ -70,10 +81,10 @@ def look(text: str | None) -> tuple[int, list[int], np.ndarray]:
     runs = (inner[1:] & inner[:-1]).mean() if n > 2 else 0.0
     lines = data.count(b"\n") + 1
     bars = data.count(b" | ") / lines
-    distinct = len(np.unique(words)) / n
-    stops = np.isin(words, _STOP).mean()
-    insults = int(np.isin(words, _BAD).sum())
-    stems = sum(int(np.isin(hash_spans(low, starts[k], starts[k] + size), h).sum()) for size, h in _STEMS for k in [np.flatnonzero(cut - starts >= size)])
+    few = 30 <= n < 400 and len(np.unique(words)) / n < 0.2
+    stops = _among(words, _STOP).mean()
+    insults = int(_among(words, _BAD).sum())
+    stems = len(_STEM.findall(lower))
     bad = insults + stems
     grade = lambda x, bad_from, good, kind: kind if x >= bad_from else GOOD if x <= good else ABSTAIN
     votes = [
@@ -85,12 +96,14 @@ def look(text: str | None) -> tuple[int, list[int], np.ndarray]:
         grade(bars, 1.5, 0.2, MENU),
         grade(repeat, 0.25, 0.1, REPEAT) if n >= 8 else ABSTAIN,
         grade(runs, 0.15, 0.03, REPEAT) if n >= 8 else ABSTAIN,
-        REPEAT if 30 <= n < 400 and distinct < 0.2 else ABSTAIN,
+        REPEAT if few else ABSTAIN,
         GOOD if n >= 20 and stops >= 0.1 and symbols < 0.05 else ABSTAIN,
         TOXIC if insults else ABSTAIN,
         TOXIC if insults or bad >= 2 and bad / n >= 0.012 else GOOD if bad == 0 else ABSTAIN,
         TOXIC if stems >= 2 and stems / n >= 0.02 else ABSTAIN,
     ]
+    if not wanted:
+        return n, votes, np.zeros(0, np.int64)
     shapes = hash_spans(_SHAPE[raw], np.maximum(starts, ends - 4), ends)
     marks = np.array([(k * 8 + v + 1) * 0x9E3779B97F4A7C15 % 2**64 for k, v in enumerate(votes)], np.uint64)
     numbers = lambda x: (x >> np.uint64(64 - BITS)).astype(np.int64)
@@ -160,7 +173,7 @@ def score(weights: np.ndarray, features: np.ndarray) -> float:
 def _votes(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            found = [look(t)[:2] for t in batch.column("text").to_pylist()]
+            found = [look(t, wanted=False)[:2] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, v)) if n else None for n, v in found], pa.string())], ["votes"])
 
     return docs.select("text").mapInArrow(run, "votes string")
