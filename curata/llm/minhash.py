@@ -1,10 +1,11 @@
 """Near-duplicate documents by HyperMinHash, with links confirmed on full shingle sets.
 
 Sketch: the hashes of a document's shingles are dealt over `buckets`; a bucket keeps the smallest hash as its count of leading zeros and the
-`MANTISSA` bits after them (16 bits in all). Registers are cut into bands; documents that agree on a band are candidates. A candidate
-pair is dropped where its sketches rule it out: two registers differ only if a shingle that one document lacks fell there, so more differing
-registers than a pair at the threshold can have differing shingles decide it without loss; where both sets are large, so does a
-collision-corrected Jaccard estimate six standard deviations below the threshold. Every other pair is confirmed on the shingle sets of the whole texts.
+`MANTISSA` bits after them (16 bits in all). Registers are cut into bands; documents that agree on a band are candidates. Beside the registers
+stands an odd sketch: `ODD_BITS` bits, each the parity of the number of shingles dealt to it. A candidate pair is dropped where its sketches rule it
+out: shingles of both documents cancel out of the odd sketches, so these differ in at most as many bits as there are shingles that one
+document lacks, and more differing bits than a pair at the threshold can have differing shingles decide it without loss; where both sets are large,
+so does a collision-corrected Jaccard estimate six standard deviations below the threshold. Every other pair is confirmed on the shingle sets of the whole texts.
 
 Documents with equal shingle sets form one class and only its smallest doc_id goes on. Inside a band the members are first compared
 with one hub each, so that a group of near copies costs one comparison per member; after that only pairs that lie in different
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from curata.llm.common import fresh, hash_spans, lower_bytes, materialise, mix, remove, table, word_spans
 from curata.llm.components import components
 
-MANTISSA, EMPTY = 10, 0xFFFF
+MANTISSA, EMPTY, ODD_BITS = 10, 0xFFFF, 2048
 _ODD = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -60,6 +61,17 @@ def sketch(shingles: np.ndarray, buckets: int) -> np.ndarray:
     return np.where(used, (zeros << np.uint64(MANTISSA) | mantissa).astype(np.uint16), np.uint16(EMPTY))
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """ODD_BITS parities, packed in bytes: of how many shingles fell on each bit."""
+    at = (mix(shingles ^ np.uint64(0x3C3C3C3CC3C3C3C3)) >> np.uint64(32)) % np.uint64(ODD_BITS)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=ODD_BITS).astype(np.uint8) & 1)
+
+
+def odd_differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits odd sketches differ: never more than the shingles that only one of the two documents has."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(-1, dtype=np.int64)
+
+
 def band_keys(registers: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key for each band that holds a register; the key depends on the band's number."""
     return all_band_keys(registers, bands)[_used(registers.reshape(bands, -1))]
@@ -114,11 +126,11 @@ def most_differing(n, m, percent: int):
 
 
 def sketches(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, two hashes of the set, registers."""
+    """Per row: doc_id, n_shingles, two hashes of the set, registers, odd sketch."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, width)
                 out[0].append(len(s))
@@ -126,9 +138,10 @@ def sketches(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     for k, salt in ((1, 0x1234567), (2, 0x89ABCDEF)):
                         out[k].append(int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)))
                 out[3].append(sketch(s, buckets).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "registers"])
+                out[4].append(odd_sketch(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.binary()) for x in out[3:])], ["doc_id", "n_shingles", "h1", "h2", "registers", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, registers binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, registers binary, odd binary")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -137,18 +150,17 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for ra, rb, n, m in zip(*(batch.column(c).to_pylist() for c in ("ra", "rb", "na", "nb")), strict=True):
+            for ra, rb, oa, ob, n, m in zip(*(batch.column(c).to_pylist() for c in ("ra", "rb", "oa", "ob", "na", "nb")), strict=True):
                 low, high = min(n, m), max(n, m)
-                x, y = np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16)
-                ok = 100 * low >= percent * high and int((x != y).sum()) <= most_differing(n, m, percent)
+                ok = 100 * low >= percent * high and odd_differ(np.frombuffer(oa, np.uint8), np.frombuffer(ob, np.uint8)) <= most_differing(n, m, percent)
                 if ok and low >= 400:
-                    t = percent / 100
+                    x, y, t = np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), percent / 100
                     ok = estimate(x, y, n, m) >= t - 6 * math.sqrt(t * (1 - t) / min(len(x), low))
                 keep.append(ok)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("registers").alias(f"r{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("registers").alias(f"r{s}"), F.col("odd").alias(f"o{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb", "oa", "ob").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -191,7 +203,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
             each = [len(f) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64()), pa.array(np.repeat(ids, each), pa.int64())], ["key", "doc_id"])
 
-    reps = materialise(reps.select("doc_id", "n_shingles", "registers"), "reps")
+    reps = materialise(reps.select("doc_id", "n_shingles", "registers", "odd"), "reps")
     banded = reps.select("doc_id", "registers").mapInArrow(keys, "key long, doc_id long")
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(banded.join(shared.select("key", "hub"), "key"), "members")
@@ -217,15 +229,16 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
     named = _labelled(members, labels)
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")).where("low <> high")
     left = named.select("key", "doc_id", "component").join(mixed.select("key", "blocks"), "key")
-    left = left.join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
+    left = left.join(reps, "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     left = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "registers")
+    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "registers", "odd")
 
     def solve(key, group):
         at, i, j = (k.as_py() for k in key)
         ids, parts, sizes, own = (np.asarray(group.column(c)) for c in ("doc_id", "component", "n_shingles", "own"))
         regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
+        odds = np.frombuffer(b"".join(group.column("odd").to_pylist()), np.uint8).reshape(len(ids), -1)
         t, out_a, out_b = percent / 100, [], []
         band = int(np.flatnonzero(all_band_keys(regs[0], bands) == at)[0])
         right = np.flatnonzero(own == j)
@@ -234,12 +247,13 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
             q = q[parts[q] != parts[p]]
             low, high = np.minimum(sizes[q], sizes[p]), np.maximum(sizes[q], sizes[p])
             q, low = q[100 * low >= percent * high], low[100 * low >= percent * high]
+            fits = odd_differ(odds[q], odds[p]) <= most_differing(sizes[q], sizes[p], percent)
+            q, low = q[fits], low[fits]
             if not len(q):
                 continue
             differ = (regs[q] != regs[p]).sum(1)
             seen = np.maximum(((regs[q] != EMPTY) | (regs[p] != EMPTY)).sum(1), 1)
-            fits = differ <= most_differing(sizes[q], sizes[p], percent)
-            q = q[fits & ((low < 400) | (1 - differ / seen >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(regs.shape[1], low))))]
+            q = q[(low < 400) | (1 - differ / seen >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(regs.shape[1], low)))]
             q = q[first_shared(regs[p], regs[q], bands) == band]
             out_a.append(np.minimum(ids[q], ids[p]))
             out_b.append(np.maximum(ids[q], ids[p]))

@@ -102,6 +102,17 @@ def test_pairs_of_a_group_meet_in_one_band():
     assert got[0] == 2 and set(minhash.band_keys(one, 32)) == set(minhash.all_band_keys(one, 32)[2:])
 
 
+def test_odd_sketches_never_differ_in_more_bits_than_the_sets_in_shingles():
+    rng = np.random.default_rng(4)
+    for n, only in ((1, 0), (1, 1), (30, 7), (400, 90), (5000, 0), (5000, 3000)):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[: n - only], rng.integers(0, 2**63, only, dtype=np.uint64)])
+        differ = int(minhash.odd_differ(minhash.odd_sketch(x), minhash.odd_sketch(y)))
+        real = len(np.setxor1d(x, y))
+        assert differ <= real and (differ - real) % 2 == 0
+        assert real > 20 or differ >= real - 4
+
+
 def test_quality_on_labels_and_edges(spark, odd):
     sf = "/root/testdata/sf0.01"
     judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
