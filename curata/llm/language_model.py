@@ -7,7 +7,8 @@ The network reads one of `CLASSES * WIDTH` slots per token (the commonest words,
 words) and predicts the next by a class-factored softmax: first the slot's class, then the slot within it. A word without a slot of its own
 has the probability of the other-words slot times its share by count among them, so that probabilities sum to 1. Training is
 truncated backpropagation with Adam in every partition from shared parameters, which are then averaged, weighted by tokens, in
-a distributed sum; each round reads another `1 / shares` of the training documents, so training grows with the corpus. Documents are scored whole: they run
+a distributed sum; each round reads another `1 / shares` of the training documents, and there are as many rounds as shares, so every
+training document gives gradients. Documents are scored whole: they run
 side by side, longest first, in windows whose last state is the next one's first.
 
 Defined results: null and empty texts have the end as their one token; texts of any length are scored whole; repeated rows get equal scores; a null doc_id
@@ -290,9 +291,9 @@ def _average(training: DataFrame, vocabulary, parameters: np.ndarray) -> np.ndar
     return (out[1:] / out[0]).astype(np.float32)
 
 
-def score(docs: DataFrame, held_out, frequent: int = 1 << 17, shares: int = 12, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, held_out, frequent: int = 1 << 17, shares: int = 12, rounds: int | None = None) -> DataFrame:
     """docs: doc_id, text. held_out: a column that is true for documents not learned from. Per row: doc_id, held_out, n_tokens,
-    n_known, train_tokens, base_score, score (log10)."""
+    n_known, train_tokens, base_score, score (log10). Without `rounds` there is one for each share: training reads every document once."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     training = rows.where("not held_out")
@@ -303,8 +304,8 @@ def score(docs: DataFrame, held_out, frequent: int = 1 << 17, shares: int = 12,
     vocabulary = Vocabulary(np.asarray(common.column("h")).astype(np.int64).view(np.uint64), np.asarray(common.column("c")).astype(np.int64), int(tokens), int(distinct))
     shared = spark.sparkContext.broadcast(vocabulary)  # at most `frequent` words
     parameters = initial(vocabulary.slot_counts)
-    for k in range(rounds):
-        parameters = _average(training.where(F.pmod(F.xxhash64("doc_id"), F.lit(shares)) == k), shared, parameters)
+    for k in range(shares if rounds is None else rounds):
+        parameters = _average(training.where(F.pmod(F.xxhash64("doc_id"), F.lit(shares)) == k % shares), shared, parameters)
     model = spark.sparkContext.broadcast(parameters)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

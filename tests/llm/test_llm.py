@@ -159,6 +159,20 @@ def test_language_model_counts_gradients_and_gain(spark, odd):
         assert abs((loss(up) - loss(down)) / 2e-3 - total[i]) < 0.02
 
 
+def test_language_model_trains_on_every_training_document(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(200)] + [(None, "no id")], "doc_id long, text string")
+    seen, average = collections.Counter(), language_model._average
+
+    def spy(training, *rest):
+        seen.update(r.text for r in training.collect())
+        return average(training, *rest)
+
+    monkeypatch.setattr(language_model, "_average", spy)
+    language_model.score(docs, language_model.split_seven(docs["doc_id"]))
+    wanted = [r.text for r in docs.collect() if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 != 2]
+    assert seen == collections.Counter(wanted)
+
+
 def test_minhash_against_brute_force(spark, odd):
     rng = np.random.default_rng(1)
     base = [" ".join(f"w{k}" for k in rng.integers(0, 500, n)) for n in (8, 20, 60, 200, 900) for _ in range(6)]
