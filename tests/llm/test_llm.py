@@ -250,6 +250,21 @@ def test_html_blocks_and_boilerplate():
     assert html_text.shard_texts([1, 1], own[:1] * 2, [[2, 2]] * 2, 16) == ["\n\n".join(own[0])] * 2
 
 
+def test_html_boilerplate_is_found_on_any_two_pages_of_a_host(spark):
+    pages = []
+    for i in range(700):
+        shared = " ".join(f"s{i % 350}x{k}" for k in range(18))
+        pages.append((i, f"http://one/{i}", f"<body><p>own{i} a b</p><p>é{shared}</p><p>tail{i}</p></body>"))
+    pages += [pages[0], (None, "http://one/n", pages[1][2]), (9000, "http://two/", pages[2][2]), (9001, "http://three/", "<p>" + "z " * 40), (9001, "http://three/", "<p>" + "z " * 40)]
+    got = collections.Counter((r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
+    cut, wanted = [html_text.blocks(h) for _, _, h in pages], collections.Counter()
+    for host in ("one", "two", "three"):
+        rows = [i for i, p in enumerate(pages) if p[1].startswith(f"http://{host}/")]
+        texts = html_text.shard_texts([pages[i][0] for i in rows], [cut[i][0] for i in rows], [cut[i][1] for i in rows], 16)
+        wanted.update((pages[i][0], t) for i, t in zip(rows, texts, strict=True))
+    assert got == wanted and got[(5, "own5\n\ntail5")] == 1 and got[(9001, " ".join("z" * 40))] == 2
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (7, 7), (None, 1)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
