@@ -4,17 +4,20 @@ Sketch: the hashes of a document's shingles are dealt over `buckets`; a bucket k
 `MANTISSA` bits after them (16 bits in all). Registers are cut into bands; documents that agree on a band are candidates. Beside the registers
 stands an odd sketch: `ODD_BITS` bits, each the parity of the number of shingles dealt to it. A candidate pair is dropped where its sketches rule it
 out: shingles of both documents cancel out of the odd sketches, so these differ in at most as many bits as there are shingles that one
-document lacks, and more differing bits than a pair at the threshold can have differing shingles decide it without loss; where both sets are large,
-so does a collision-corrected Jaccard estimate six standard deviations below the threshold. Every other pair is confirmed on the shingle sets of the whole texts.
+document lacks, and more differing bits than a pair at the threshold can have differing shingles decide it without loss. Where both sets hold `LARGE`
+shingles or more, so does agreement of the registers six standard deviations below the threshold, which loses about one true link in 1e9.
+Every other pair is confirmed on the shingle sets of the whole texts.
 
-Documents with equal shingle sets form one class and only its smallest doc_id goes on. Inside a band the members are first compared
-with one hub each, so that a group of near copies costs one comparison per member; after that only pairs that lie in different
-components are compared, first with the hub of each band, then all that are left, in blocks of bounded size, each pair only in the first band that both
-share. Nothing is capped: a pair is left unconfirmed only
-where its documents already have the same component, which is all that the result says of it.
+Documents with equal shingle sets form one class and only one of them goes on. Inside a band the members are first compared
+with one hub each, so that a group of near copies costs one comparison per member; then, in `hub_rounds` rounds, the members of bands that still
+hold several components are compared with another hub. What is left is compared by sketch in blocks of bounded size, each pair only in the
+first band that both share, and of the pairs that pass a block returns those of a spanning forest of its components; once these are confirmed or refuted,
+blocks with untested pairs are asked again for four times as many, until no untested pair joins two components. So confirmed links stay
+linear in the members, and a pair is left unconfirmed only where its documents already have the same component, which is all that the result says of it.
 
 Defined results: null and empty texts and texts of white space have no shingles and link with nothing; a text with fewer words than a shingle has the whole
-sequence as its one shingle; whole texts of any length are read; rows with equal texts fall in one class; rows that repeat a doc_id each give a row (of such rows with different texts, one stands for the doc_id in links); a null doc_id links with nothing and stays; an empty table gives an empty result; extra columns are ignored.
+sequence as its one shingle; whole texts of any length are read; rows with equal texts fall in one class; rows that repeat a doc_id with other texts are
+documents of their own; a null doc_id links with nothing and stays; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curata.llm.common import fresh, hash_spans, lower_bytes, materialise, mix, remove, table, word_spans
 from curata.llm.components import components
 
 MANTISSA, EMPTY, ODD_BITS = 10, 0xFFFF, 2048
+#: From this many shingles on the registers are asked too: the odd sketch fills up with differences of large sets.
+LARGE = 400
 _ODD = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -126,7 +131,7 @@ def most_differing(n, m, percent: int):
 
 
 def sketches(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, two hashes of the set, registers, odd sketch."""
+    """Per row: doc_id, text_hash, n_shingles, two hashes of the set, registers, odd sketch."""
 
     def run(batches):
         for batch in batches:
@@ -139,9 +144,29 @@ def sketches(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                         out[k].append(int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)))
                 out[3].append(sketch(s, buckets).tobytes() if len(s) else None)
                 out[4].append(odd_sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.binary()) for x in out[3:])], ["doc_id", "n_shingles", "h1", "h2", "registers", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.binary()) for x in out[3:])], ["doc_id", "text_hash", "n_shingles", "h1", "h2", "registers", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, registers binary, odd binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, registers binary, odd binary")
+
+
+def _stack(column, dtype) -> np.ndarray:
+    """A binary column of equal lengths as rows of an array."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def _may_reach(sizes_a, sizes_b, regs_a, regs_b, odd_a, odd_b, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs may reach the threshold by their sketches, and how near to its bound each is (0: equal sketches)."""
+    low, high = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
+    differ, most = odd_differ(odd_a, odd_b), most_differing(sizes_a, sizes_b, percent)
+    fits = (100 * low >= percent * high) & (differ <= most)
+    large = np.flatnonzero(fits & (low >= LARGE))
+    if len(large):
+        x, y = (regs_a[large] if regs_a.ndim == 2 else regs_a), (regs_b[large] if regs_b.ndim == 2 else regs_b)
+        seen = np.maximum(((x != EMPTY) | (y != EMPTY)).sum(1), 1)
+        same, t = 1 - (x != y).sum(1) / seen, percent / 100
+        # agreement by chance only raises `same`, so leaving it uncorrected here only lets more pairs through
+        fits[large] = same >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(x.shape[1], low[large]))
+    return fits, differ / (most + 1)
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -149,22 +174,17 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for ra, rb, oa, ob, n, m in zip(*(batch.column(c).to_pylist() for c in ("ra", "rb", "oa", "ob", "na", "nb")), strict=True):
-                low, high = min(n, m), max(n, m)
-                ok = 100 * low >= percent * high and odd_differ(np.frombuffer(oa, np.uint8), np.frombuffer(ob, np.uint8)) <= most_differing(n, m, percent)
-                if ok and low >= 400:
-                    x, y, t = np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), percent / 100
-                    ok = estimate(x, y, n, m) >= t - 6 * math.sqrt(t * (1 - t) / min(len(x), low))
-                keep.append(ok)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            if batch.num_rows:
+                sizes = [np.asarray(batch.column(c)) for c in ("na", "nb")]
+                fits, _ = _may_reach(*sizes, *(_stack(batch.column(c), np.uint16) for c in ("ra", "rb")), *(_stack(batch.column(c), np.uint8) for c in ("oa", "ob")), percent)
+                yield batch.filter(pa.array(fits)).select(["a", "b"])
 
-    side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("registers").alias(f"r{s}"), F.col("odd").alias(f"o{s}"))
+    side = lambda s: reps.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("registers").alias(f"r{s}"), F.col("odd").alias(f"o{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb", "oa", "ob").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. texts: (doc_id, text) of candidates."""
+    """The pairs whose full shingle sets reach the threshold. texts: (node, text) of candidates."""
 
     def run(batches):
         last: tuple = (None, None)
@@ -178,107 +198,186 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}"))
+    side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"t{s}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    found = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return found.withColumn("component", F.coalesce("component", "doc_id"))
-
-
-def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 192, bands: int = 32, block: int = 256) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _best_candidates(ids, parts, sizes, regs, odds, left, right, band: int, bands: int, percent: int, failed: set, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of the pairs between two blocks that lie in different components and whose sketches allow a link: those of a spanning forest
+    of the components, nearest sketches first, then further ones, at most `most` for a pair of components. Row numbers, scores, and
+    how many such pairs there are. A pair counts only in the first band that its documents share, and not if it has failed."""
+    found: list[tuple] = []
+    for p in left:
+        q = right[right > p] if left is right else right
+        q = q[parts[q] != parts[p]]
+        if not len(q):
+            continue
+        fits, score = _may_reach(sizes[q], sizes[p], regs[q], regs[p], odds[q], odds[p], percent)
+        q, score = q[fits], score[fits]
+        if len(q):
+            here = first_shared(regs[p], regs[q], bands) == band
+            found.append((np.full(int(here.sum()), p), q[here], score[here]))
+    none = np.zeros(0, np.int64)
+    x, y, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (none, none, none.astype(float))
+    if failed and len(x):
+        fresh_ = np.array([(min(a, b), max(a, b)) not in failed for a, b in zip(ids[x].tolist(), ids[y].tolist(), strict=True)])
+        x, y, score = x[fresh_], y[fresh_], score[fresh_]
+    order = np.argsort(score, kind="stable")
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            c = up
+        return c
+
+    chosen, spare, seen = [], [], {}
+    for k in order.tolist():
+        u, v = sorted((int(parts[x[k]]), int(parts[y[k]])))
+        if (ru := top(u)) != (rv := top(v)):
+            root[max(ru, rv)] = min(ru, rv)
+            chosen.append(k)
+            seen[u, v] = seen.get((u, v), 0) + 1
+        elif seen.get((u, v), 0) < most - 1:
+            seen[u, v] = seen.get((u, v), 0) + 1
+            spare.append(k)
+    chosen = np.array(chosen + spare[: len(chosen) * (most - 1)], np.int64)
+    return x[chosen], y[chosen], score[chosen], len(x)
+
+
+def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 192, bands: int = 32, block: int = 256, hub_rounds: int = 3) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     rows = materialise(sketches(docs, width, buckets), "sketches")
     key = ["h1", "h2", "n_shingles"]
     filled = rows.where("doc_id is not null and n_shingles > 0")
-    firsts = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    firsts = materialise(firsts, "classes")
-    reps = filled.join(firsts.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id"])
+    first = F.struct("doc_id", "text_hash")
+    firsts = filled.groupBy(*key).agg(F.min(first).alias("rep")).select(*key, "rep.*").withColumn("node", F.monotonically_increasing_id())
+    firsts = materialise(firsts, "classes")  # written once, so that node numbers are the same in every later read
+    of_node = firsts.select("doc_id", "text_hash", "node", *key)
+    reps = filled.select("doc_id", "text_hash", *key, "registers", "odd").join(of_node, ["doc_id", "text_hash", *key])
+    repeats = filled.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
+    reps = reps.dropDuplicates(["node"]) if repeats else reps
+    reps = materialise(reps.select("node", "doc_id", "text_hash", "n_shingles", "registers", "odd"), "reps")
 
     def keys(batches):
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
+            ids = np.asarray(batch.column("node"))
             found = [band_keys(np.frombuffer(r, np.uint16), bands) for r in batch.column("registers").to_pylist()]
             each = [len(f) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64()), pa.array(np.repeat(ids, each), pa.int64())], ["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64()), pa.array(np.repeat(ids, each), pa.int64())], ["key", "node"])
 
-    reps = materialise(reps.select("doc_id", "n_shingles", "registers", "odd"), "reps")
-    banded = reps.select("doc_id", "registers").mapInArrow(keys, "key long, doc_id long")
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    banded = reps.select("node", "registers").mapInArrow(keys, "key long, node long")
+    shared = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(banded.join(shared.select("key", "hub"), "key"), "members")
-    candidates = members.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(candidates, "doc_id", "left_semi")
-    texts = materialise(texts.dropDuplicates(["doc_id"]) if _repeats(reps, rows) else texts, "texts")
-
-    # first: each document with its smallest hub
-    hubs = members.where("hub <> doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    tried = materialise(_likely(hubs, reps, percent), "tried")
-    links = materialise(_confirmed(tried, texts, width, percent), "confirmed")
-    labels = materialise(components(links), "labels")
-
-    # then: the hubs of bands that still hold more than one component
-    named = _labelled(members, labels)
-    open_bands = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    others = members.join(open_bands, "key").where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = materialise(_likely(_cross(others, labels), reps, percent), "stars")
-    links = links.union(materialise(_confirmed(stars.join(tried, ["a", "b"], "left_anti"), texts, width, percent), "confirmed"))
-    labels = materialise(components(links), "labels")
-
-    # last: what is left inside a band across components, block by block
-    named = _labelled(members, labels)
+    candidates = reps.select("node", "doc_id", "text_hash").join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).join(candidates, ["doc_id", "text_hash"]).select("node", "text")
+    texts = materialise(texts.dropDuplicates(["node"]) if repeats else texts, "texts")
+
+    # each document with its smallest hub
+    hubs = members.where("hub <> node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    known = materialise(_likely(hubs, reps, percent), "known")
+    links = materialise(_confirmed(known, texts, width, percent), "confirmed")
+    labels = materialise(components(links).select("node", "component"), "labels")
+
+    def merged(found: DataFrame) -> DataFrame:
+        """The labels after the confirmed pairs found, which are first contracted to pairs of components."""
+        nonlocal labels
+        if not found.isEmpty():
+            ends = found.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            moves = components(ends.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).distinct()).select(F.col("node").alias("was"), F.col("component").alias("now"))
+            old = labels.join(moves, labels["component"] == moves["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
+            new = moves.join(labels.select(F.col("node").alias("was")), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+            before, labels = labels, materialise(old.unionByName(new), "labels")
+            remove(before)
+        return labels
+
+    # bands that still hold several components: every member with one hub, another one each round
+    open_members = members.select("key", "node", "hub")
+    for k in range(hub_rounds):
+        named = _labelled(open_members, labels)
+        hub = F.min("node") if k == 0 else F.min_by("node", F.xxhash64("node", "key", F.lit(k)))
+        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub.alias("hub")).where("low <> high")
+        after = materialise(named.select("key", "node").join(mixed.select("key", "hub"), "key"), "open")
+        if k:
+            remove(open_members)
+        open_members = after
+        pairs = _cross(open_members.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), labels)
+        stars = materialise(_likely(pairs.join(known, ["a", "b"], "left_anti"), reps, percent), "stars")
+        if stars.isEmpty():
+            break
+        found = materialise(_confirmed(stars, texts, width, percent), "confirmed")
+        merged(found)
+        remove(found)
+        known, before = materialise(known.unionByName(stars), "known"), (known, stars)
+        for x in before:
+            remove(x)
+
+    # what is left inside a band across components, in blocks of bounded size; a block returns only while it has untested pairs
+    named = _labelled(open_members.select("key", "node"), labels)
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")).where("low <> high")
-    left = named.select("key", "doc_id", "component").join(mixed.select("key", "blocks"), "key")
-    left = left.join(reps, "doc_id")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    left = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "registers", "odd")
-
-    def solve(key, group):
-        at, i, j = (k.as_py() for k in key)
-        ids, parts, sizes, own = (np.asarray(group.column(c)) for c in ("doc_id", "component", "n_shingles", "own"))
-        regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
-        odds = np.frombuffer(b"".join(group.column("odd").to_pylist()), np.uint8).reshape(len(ids), -1)
-        t, out_a, out_b = percent / 100, [], []
-        band = int(np.flatnonzero(all_band_keys(regs[0], bands) == at)[0])
-        right = np.flatnonzero(own == j)
-        for p in np.flatnonzero(own == i):
-            q = right[right > p] if i == j else right
-            q = q[parts[q] != parts[p]]
-            low, high = np.minimum(sizes[q], sizes[p]), np.maximum(sizes[q], sizes[p])
-            q, low = q[100 * low >= percent * high], low[100 * low >= percent * high]
-            fits = odd_differ(odds[q], odds[p]) <= most_differing(sizes[q], sizes[p], percent)
-            q, low = q[fits], low[fits]
-            if not len(q):
-                continue
-            differ = (regs[q] != regs[p]).sum(1)
-            seen = np.maximum(((regs[q] != EMPTY) | (regs[p] != EMPTY)).sum(1), 1)
-            q = q[(low < 400) | (1 - differ / seen >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(regs.shape[1], low)))]
-            q = q[first_shared(regs[p], regs[q], bands) == band]
-            out_a.append(np.minimum(ids[q], ids[p]))
-            out_b.append(np.maximum(ids[q], ids[p]))
-        flat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-        return pa.table({"a": flat(out_a), "b": flat(out_b)})
-
-    rest = left.groupBy("key", "i", "j").applyInArrow(solve, "a long, b long").distinct()
-    known = stars.union(tried).distinct().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(rest.join(known, ["a", "b"], "left_anti"), "rest")
-    found = materialise(_confirmed(rest, texts, width, percent), "confirmed")
-    if not found.isEmpty():
-        labels = materialise(components(links.union(found)), "labels")
-    remove(texts)
-
-    named = _labelled(firsts.withColumnRenamed("rep", "doc_id"), labels).select(*key, "component")
-    # a repeated doc_id with other texts is one node: its classes meet in the smallest component of any
-    result = rows.join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    spread = named.select("key", "node").join(mixed.select("key", "blocks"), "key")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = materialise(spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node"), "blocks")
+    at = ["key", "i", "j"]
+    out = "key long, i int, j int, a long, b long, ca long, cb long, score double, n long"
+    failed, active, most = None, spread, 1
+
+    def solver(most: int):
+        def solve(place, group, lost=None):
+            where = [k.as_py() for k in place]
+            nothing = pa.schema([(n, pa.int32() if n in "ij" else pa.float64() if n == "score" else pa.int64()) for n in (c.split(" ")[0] for c in out.split(", "))])
+            if not group.num_rows:
+                return nothing.empty_table()
+            ids, parts, sizes, own_ = (np.asarray(group.column(c)) for c in ("node", "component", "n_shingles", "own"))
+            regs, odds = _stack(group.column("registers"), np.uint16), _stack(group.column("odd"), np.uint8)
+            band = int(np.flatnonzero(all_band_keys(regs[0], bands) == where[0])[0])
+            left = np.flatnonzero(own_ == where[1])
+            right = left if where[1] == where[2] else np.flatnonzero(own_ == where[2])
+            gone = set(zip(lost.column("a").to_pylist(), lost.column("b").to_pylist(), strict=True)) if lost is not None else set()
+            x, y, score, n = _best_candidates(ids, parts, sizes, regs, odds, left, right, band, bands, percent, gone, most)
+            a, b, m = ids[x], ids[y], len(x)
+            swap = a > b
+            columns = [np.full(m, w) for w in where] + [np.where(swap, b, a), np.where(swap, a, b), np.minimum(parts[x], parts[y]), np.maximum(parts[x], parts[y]), score, np.full(m, n)]
+            return pa.table([pa.array(c, t.type) for c, t in zip(columns, nothing, strict=True)], schema=nothing)
+
+        return lambda place, group: solve(place, group), lambda place, group, lost: solve(place, group, lost)
+
+    while True:
+        held = _labelled(active, labels).join(reps.select("node", "n_shingles", "registers", "odd"), "node")
+        first_time, again = solver(most)
+        grouped = held.groupBy(*at)
+        found = grouped.applyInArrow(first_time, out) if failed is None else grouped.cogroup(failed.groupBy(*at)).applyInArrow(again, out)
+        emitted = materialise(found, "candidates")
+        best = Window.partitionBy("ca", "cb").orderBy("score", "a", "b")
+        chosen = emitted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).select(*at, "a", "b")
+        chosen = materialise(chosen, "chosen")
+        if chosen.isEmpty():
+            break
+        links = materialise(_confirmed(chosen.select("a", "b").join(known, ["a", "b"], "left_anti"), texts, width, percent), "confirmed")
+        merged(links)
+        tested = chosen.join(links, ["a", "b"], "left_anti").select(*at, "a", "b")
+        failed = materialise(tested if failed is None else tested.unionByName(failed), "failed")
+        more = emitted.groupBy(*at).agg(F.max("n").alias("n")).join(chosen.groupBy(*at).agg(F.count(F.lit(1)).alias("m")), at, "left").where("n > coalesce(m, 0)")
+        active = materialise(active.join(more.select(*at), at, "left_semi"), "blocks")
+        if active.isEmpty():
+            break
+        most *= 4
+    for x in (texts, members, spread, reps):
+        remove(x)
+
+    # a component is named by its smallest doc_id
+    named = _labelled(firsts.select(*key, "node", F.col("doc_id").alias("rep")), labels)
+    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(names, "component").select(*key, "component_id")
+    result = rows.join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    result = result.withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _repeats(reps: DataFrame, rows: DataFrame) -> bool:
-
-    return rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
-
-
 def _cross(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose two documents are in different components."""
     for side in ("a", "b"):
@@ -286,10 +385,10 @@ def _cross(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
-def representatives(docs: DataFrame, width: int = 5, percent: int = 80, **options) -> DataFrame:
-    """The rows of docs that stay, one of each group, with all their columns."""
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80, buckets: int = 200, bands: int = 40, **options) -> DataFrame:
+    """The rows of docs that stay, one document of each group, with all their columns; rows that repeat a doc_id stay or go together."""
     key = fresh(docs, "near_id_")
-    stay = classes(docs, width, percent, **options).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    stay = classes(docs, width, percent, buckets, bands, **options).where("kept").select(F.col("doc_id").alias(key)).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay[key]), "left_semi")
 
 
