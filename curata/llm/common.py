@@ -29,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; where it is unset, as in tests, a temporary one is set."""
+    """The shared folder that the session names in spark.checkpoint.dir. Where it is unset a local session, as in tests, gets a temporary
+    one; on a cluster that would be a folder of one machine, so there it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(spark, "_curata_dir", None) or tempfile.mkdtemp(prefix="curata-")
         spark._curata_dir = at
     if spark.sparkContext.getCheckpointDir() is None:
@@ -94,18 +97,20 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; equal bytes give equal hashes in every process."""
+    """A 64-bit hash of each span; equal bytes give equal hashes in every process. A sum of products of random odd numbers, one for
+    each byte value and one for each place, then mixed."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     length = ends - starts
-    total = int(length.sum())
-    place = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-    at = np.repeat(starts, length) + place
-    block = (place >> 12).astype(np.uint64)
+    offsets = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(offsets, length)
     with np.errstate(over="ignore"):
-        value = _BYTE[raw[at]] * (_PLACE[place & 4095] + block * np.uint64(0x9E3779B97F4A7C16))
-        value = mix(value)
-        sums = np.add.reduceat(value, np.cumsum(length) - length)
+        value = _BYTE[raw[np.repeat(starts, length) + place]]
+        if int(length.max()) <= len(_PLACE):
+            value *= _PLACE[place]
+        else:
+            value *= _PLACE[place & 4095] + (place >> 12).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16)
+        sums = np.add.reduceat(value, offsets)
         return mix(sums + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
