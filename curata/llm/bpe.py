@@ -127,8 +127,8 @@ class Codec:
 def codec(path: str, pattern: str) -> Codec:
     key = (path, pattern)
     if key not in _CODECS:
-        gc.disable()  # nothing here makes cycles, and scanning the tables takes a quarter of the time
         _CODECS[key] = Codec(path, pattern)
+        gc.freeze()  # the collector need not scan these tables again and again; it goes on with what comes later
     return _CODECS[key]
 
 

@@ -8,7 +8,8 @@ adaptive execution can split the rows of a very common digest over many tasks.
 Defined results: a null text counts as empty; empty texts are equal to each other; texts of any length are read whole;
 rows with the same text and doc_id are copies of one row (all carry kept = true in the report, `distinct_rows` keeps
 one); a null doc_id is kept only when every row of its group has none; empty input gives an empty result; other columns
-of the input are ignored by the report and carried through by `distinct_rows`.
+of the input are ignored by the report and carried through by `distinct_rows`. A digest that a later ingest brings again keeps the keep_id and
+group_size of the ingest that added it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curata.llm.common import fresh, scratch_path, table, text_of
+from curata.llm.common import fresh, materialise, remove, scratch_path, table, text_of
 
 
 def digest(text: Column, normalise: Callable[[Column], Column] | None = None) -> Column:
@@ -27,6 +28,11 @@ def digest(text: Column, normalise: Callable[[Column], Column] | None = None) ->
     return F.sha2((normalise(text) if normalise else text).cast("binary"), 256)
 
 
+def reduced(digests: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """One row per digest: the largest id and the number of rows; each map task sends one row per digest at most."""
+    return digests.groupBy("digest").agg(F.max(id_column).cast("long").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+
+
 class DigestIndex:
     """A persistent set of digests: (digest, keep_id, group_size), bucketed and sorted by digest."""
 
@@ -53,9 +59,10 @@ class DigestIndex:
 
     def ingest(self, digests: DataFrame, id_column: str = "doc_id") -> None:
         """Append the digests that the index lacks. digests: (id_column, digest)."""
-        batch = digests.groupBy("digest").agg(F.max(id_column).cast("long").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        new = batch.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        self._append(new)
+        # written out: else the optimiser moves the anti-join below the aggregate, and every row of a common digest meets in one task
+        batch = materialise(reduced(digests, id_column), "digests")
+        self._append(batch.join(self.table().select("digest").hint("merge"), "digest", "left_anti"))
+        remove(batch)
 
     def resolve(self, digests: DataFrame) -> DataFrame:
         """Each row with the keep_id and group_size of its digest."""

@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = 3, seed: st
     left = F.col("target") - F.col("epochs") * F.col("source_size")
     upto = F.col("offset") + F.col("prefix")
     start = upto - F.col("size")
-    extra = (upto <= left) | ((start < left) & (upto - left <= left - start))
+    extra = (F.col("size") > 0) & ((upto <= left) | ((start < left) & (upto - left <= left - start)))  # an empty text adds nothing to a remainder
     taken = F.col("size") * (F.col("epochs") + extra.cast("long"))
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", (F.col("epochs") + extra.cast("long")).alias("copies"))
 

@@ -2,8 +2,8 @@
 
 `write_archive` stores each distinct payload once, keyed by its SHA-256 and bucketed by it, and the exact header block
 of every record in a table of its own. `read_records` verifies each stored payload against its key and rebuilds the
-records (header block, payload, two line ends) by joining the two: the payload side is read by bucket and not moved
-again. The longest payload group is cut to one row per task before the shuffle (window group limit), and the join that
+records (header block, payload where they carry one, two line ends) by joining the two: the payload side is read by bucket and not moved
+again. `read_pages` gives every record, revisits too, the payload it stands for. The longest payload group is cut to one row per task before the shuffle (window group limit), and the join that
 gives every record its payload's facts exchanges both sides, so that adaptive execution splits a very common payload.
 
 Defined results: a null html is the empty payload; payloads below `min_revisit_bytes` are all written as responses; of
@@ -99,13 +99,26 @@ def read_headers(archive: Archive) -> DataFrame:
     return archive.spark.read.schema("page_id long, payload_key string, header binary, has_payload boolean").parquet(f"{archive.path}/headers")
 
 
-def read_records(archive: Archive) -> DataFrame:
-    """The records that carry a payload: page_id, payload_key, header, payload, record (the original bytes)."""
+def _responses(archive: Archive) -> DataFrame:
     end = F.encode(F.lit(CRLF * 2), "UTF-8")
     records = read_headers(archive).where("has_payload").join(read_payloads(archive).hint("merge"), "payload_key")
     return records.select("page_id", "payload_key", "header", "payload", F.concat("header", "payload", end).alias("record"))
 
 
+def read_records(archive: Archive) -> DataFrame:
+    """All records: page_id, payload_key, header, payload (null for revisits, which carry none), record (the original bytes)."""
+    end = F.encode(F.lit(CRLF * 2), "UTF-8")
+    revisits = read_headers(archive).where("not has_payload").select("page_id", "payload_key", "header", F.lit(None).cast("binary").alias("payload"), F.concat("header", end).alias("record"))
+    return _responses(archive).unionByName(revisits)
+
+
+def read_pages(archive: Archive) -> DataFrame:
+    """Each record with the payload that it stands for, revisits with that of their response: page_id, header, payload. Both sides are
+    exchanged, so that the records of a very common payload can be split over tasks."""
+    stored = archive.spark.read.schema("digest string, response_id long, payload binary").parquet(f"{archive.path}/payloads")
+    return read_headers(archive).join(stored.select(F.col("digest").alias("payload_key"), "payload"), "payload_key").select("page_id", "header", "payload")
+
+
 def field(header: Column, name: str) -> Column:
     return F.regexp_extract(F.decode(header, "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)\r?$", 1)
 
@@ -113,7 +126,7 @@ def field(header: Column, name: str) -> Column:
 def report(archive: Archive) -> DataFrame:
     """Per record, from the archive alone: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     content = F.expr("substring(record, length(header) + 1, length(record) - length(header) - 4)")
-    rebuilt = read_records(archive).select("payload_key", content.alias("content"))
+    rebuilt = _responses(archive).select("payload_key", content.alias("content"))
     facts = rebuilt.select("payload_key", F.length("content").cast("long").alias("payload_bytes"), base32_sha1(F.col("content")).alias("sha1"))
     facts = facts.dropDuplicates(["payload_key", "sha1"])
     heads = read_headers(archive).select("payload_key", field(F.col("header"), "WARC-Payload-Digest").alias("named"), field(F.col("header"), "WARC-Type").alias("record_type"), field(F.col("header"), "WARC-Record-ID").alias("record_id"), field(F.col("header"), "WARC-Refers-To").alias("refers"))
