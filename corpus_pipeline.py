@@ -15,8 +15,8 @@ from curata.llm.common import shared_dir
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    return quality.kept_rows(docs)
+    """Documents that the quality classifier keeps; its lexicon of abuse is learnt from a bounded sample of `labels`."""
+    return quality.kept_rows(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
