@@ -248,14 +248,15 @@ def _best_candidates(ids, parts, sizes, regs, odds, left, right, band: int, band
     return x[chosen], y[chosen], score[chosen], len(x)
 
 
-def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 192, bands: int = 32, block: int = 256, hub_rounds: int = 3) -> DataFrame:
+def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 192, bands: int = 32, block: int = 2048, hub_rounds: int = 3) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     rows = materialise(sketches(docs, width, buckets), "sketches")
     key = ["h1", "h2", "n_shingles"]
     filled = rows.where("doc_id is not null and n_shingles > 0")
     first = F.struct("doc_id", "text_hash")
-    firsts = filled.groupBy(*key).agg(F.min(first).alias("rep")).select(*key, "rep.*").withColumn("node", F.monotonically_increasing_id())
-    firsts = materialise(firsts, "classes")  # written once, so that node numbers are the same in every later read
+    firsts = filled.groupBy(*key).agg(F.min(first).alias("rep")).select(*key, "rep.*").orderBy("doc_id", "text_hash")
+    # numbered in the order of doc_id, and written once, so that node numbers are the same in every later read
+    firsts = materialise(firsts.withColumn("node", F.monotonically_increasing_id()), "classes")
     of_node = firsts.select("doc_id", "text_hash", "node", *key)
     reps = filled.select("doc_id", "text_hash", *key, "registers", "odd").join(of_node, ["doc_id", "text_hash", *key])
     repeats = filled.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
@@ -320,8 +321,9 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")).where("low <> high")
     spread = named.select("key", "node").join(mixed.select("key", "blocks"), "key")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = materialise(spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node"), "blocks")
+    one = spread.where("blocks = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "node")
+    several = spread.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = materialise(one.unionByName(several.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")), "blocks")
     at = ["key", "i", "j"]
     out = "key long, i int, j int, a long, b long, ca long, cb long, score double, n long"
     failed, active, most = None, spread, 1
@@ -369,10 +371,10 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
     for x in (texts, members, spread, reps):
         remove(x)
 
-    # a component is named by its smallest doc_id
-    named = _labelled(firsts.select(*key, "node", F.col("doc_id").alias("rep")), labels)
-    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(names, "component").select(*key, "component_id")
+    # the smallest node of a component has its smallest doc_id
+    names = firsts.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
+    named = firsts.select(*key, "node", "doc_id").join(labels.join(names, "component").select("node", "component_id"), "node", "left")
+    named = named.select(*key, F.coalesce("component_id", "doc_id").alias("component_id"))
     result = rows.join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     result = result.withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
