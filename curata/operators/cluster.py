@@ -1,122 +1,148 @@
-"""Order-dependent dedup and clustering: components of the links first, then one exact scan per component.
+"""Order-dependent dedup and clustering, in distributed rounds that give exactly what a scan in order gives.
 
-No decision of a scan reads another component, so the scans are independent. Components come from repeated minimum-label joins,
-written out between rounds; components larger than a task can hold are what the size cap of `capped_clusters` is for.
+A scan's decision on a row depends only on decisions about rows before it that it is linked with, so every round settles all rows whose
+predecessors are settled. Once at most `gather` links are left, one task settles those in order; no task ever holds more, whatever the
+size of a component. A chain in id order needs as many rounds as it has links beyond `gather`.
+
+Defined results: rows without links are kept, undropped and clusters of their own; repeated links, links of a row with itself, links with a null end and
+links to unknown ids do not count; null labels are equal to each other; ids must be unique; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curata.operators.scratch import stored
+
 KEPT, DUPLICATE, CONFLICT = 1, 2, 3
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """links (a, b). Per node: node, component (smallest node reachable); labels jump to their label's label each round."""
-    spark = links.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="curata-"))
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node").checkpoint()
-    for _ in range(rounds):
-        theirs = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        around = both.join(theirs, "b").groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("low"))
-        step = labels.join(around, "node").select("node", "component", F.least("component", "low").alias("next"))
-        further = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
-        after = step.join(further, "next").select("node", "component", F.least("next", "further").alias("next")).checkpoint()
-        changed = after.where("next <> component").limit(1).count()
-        labels = after.select("node", F.col("next").alias("component"))
-        if not changed:
-            break
-    return labels
-
-
-def _by_component(rows: DataFrame, links: DataFrame, solve, schema: str) -> DataFrame:
-    """rows (id, label); solve gets the ids in order, their labels and neighbours, and the pairs in order."""
-    named = components(links)
-    nodes = rows.join(named.withColumnRenamed("node", "id"), "id").select("id", "label", "component")
-    edges = links.join(named.select(F.col("node").alias("a"), (F.col("component") + 0).alias("component")), "a").select("a", "b", "component")
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("id")
-        labels = dict(zip(left["id"].tolist(), [None if pd.isna(x) else x for x in left["label"]], strict=True))
-        pairs = sorted(zip(right["a"].tolist(), right["b"].tolist(), strict=True))
-        return pd.DataFrame(solve(labels, pairs), columns=[c.split(" ")[0] for c in schema.split(", ")])
-
-    return nodes.groupBy("component").cogroup(edges.groupBy("component")).applyInPandas(run, schema)
-
-
-def greedy_dedup(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _arcs(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct links from the smaller to the larger id, with both labels: a, b, la, lb."""
+    pairs = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b").distinct()
+    label = lambda s: rows.select(F.col("id").cast("long").alias(s), F.col("label").alias(f"l{s}"))
+    return pairs.join(label("a"), "a").join(label("b"), "b")
+
+
+def beaten(arcs: DataFrame, gather: int = 200_000) -> DataFrame:
+    """arcs (a, b), a < b. The nodes that some unbeaten smaller node has an arc to, as `node`: every node in id order beats
+    its larger neighbours unless it is beaten itself."""
+    arcs = stored(arcs.select("a", "b").distinct())
+    lost = arcs.select(F.col("b").alias("node")).limit(0)
+    while (left := arcs.count()) > gather:
+        first = stored(arcs.select("a").distinct().join(arcs.select(F.col("b").alias("a")), "a", "left_anti"))
+        out = stored(arcs.join(first, "a", "left_semi").select(F.col("b").alias("node")).distinct())
+        lost = stored(lost.union(out))
+        gone = out.select(F.col("node").alias("a"))
+        arcs = stored(arcs.join(first, "a", "left_anti").join(gone, "a", "left_anti").join(out.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
+    if not left:
+        return lost
+
+    def rest(table: pa.Table) -> pa.Table:  # at most `gather` arcs
+        out: set[int] = set()
+        for a, b in sorted(zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)):
+            if a not in out:
+                out.add(b)
+        return pa.table({"node": pa.array(sorted(out), pa.int64())})
+
+    return lost.union(arcs.groupBy().applyInArrow(rest, "node long"))
+
+
+def greedy_dedup(rows: DataFrame, links: DataFrame, gather: int = 200_000) -> DataFrame:
     """Scan in id order: a row takes its undecided neighbours; if any label differs (null-safe) all are conflicts, else it is kept and they are
-    duplicates. Rows without links are kept. Returns id, status."""
-
-    def solve(labels, pairs):
-        near: dict = {}
-        for a, b in pairs:
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        status: dict = {}
-        for i in labels:
-            if i in status:
-                continue
-            taken = [j for j in near.get(i, []) if j not in status]
-            differs = any(labels[j] != labels[i] for j in taken)
-            status[i] = CONFLICT if differs else KEPT
-            status.update(dict.fromkeys(taken, CONFLICT if differs else DUPLICATE))
-        return list(status.items())
-
-    scanned = _by_component(rows, links, solve, "id long, status int")
-    alone = rows.join(scanned, "id", "left_anti").select("id", F.lit(KEPT).alias("status"))
-    return scanned.unionByName(alone)
-
-
-def merge_copies(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs in order: labels differ, both go; else the second goes if the first is still there. Returns id, dropped."""
-
-    def solve(labels, pairs):
-        gone = set()
-        for a, b in pairs:
-            if labels[a] != labels[b]:
-                gone |= {a, b}
-            elif a not in gone:
-                gone.add(b)
-        return [(i, i in gone) for i in labels]
-
-    scanned = _by_component(rows, links, solve, "id long, dropped boolean")
-    alone = rows.join(scanned, "id", "left_anti").select("id", F.lit(False).alias("dropped"))
-    return scanned.unionByName(alone)
-
-
-def capped_clusters(rows: DataFrame, links: DataFrame, most: int = 64) -> DataFrame:
-    """Union by size over pairs in order; a union that would pass `most` members is skipped and counted. Returns id, cluster, blocked
-    (skipped unions whose first row it is)."""
-
-    def solve(labels, pairs):
-        parent, size, blocked = {i: i for i in labels}, dict.fromkeys(labels, 1), dict.fromkeys(labels, 0)
-
-        def find(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for a, b in pairs:
-            x, y = find(a), find(b)
-            if x == y:
-                continue
-            if size[x] + size[y] > most:
-                blocked[a] += 1
-                continue
-            if size[x] < size[y]:
-                x, y = y, x
-            parent[y] = x
-            size[x] += size[y]
-        return [(i, find(i), blocked[i]) for i in labels]
-
-    scanned = _by_component(rows, links, solve, "id long, cluster long, blocked int")
-    alone = rows.join(scanned, "id", "left_anti").select("id", F.col("id").alias("cluster"), F.lit(0).alias("blocked"))
-    return scanned.unionByName(alone)
+    duplicates. rows: id, label. Returns id, status."""
+    arcs = stored(_arcs(rows, links))
+    taken = stored(beaten(arcs, gather))
+    heads = arcs.join(taken.select(F.col("node").alias("a")), "a", "left_anti")
+    # a taken row goes with the first unbeaten row that it is linked with
+    owner = heads.groupBy("b").agg(F.min(F.struct("a", (~F.col("la").eqNullSafe(F.col("lb"))).alias("differs"))).alias("x")).select("b", "x.*")
+    owner = stored(owner)
+    clash = owner.groupBy("a").agg(F.max("differs").alias("clash"))
+    members = owner.join(clash, "a").select(F.col("b").alias("id"), F.when(F.col("clash"), CONFLICT).otherwise(DUPLICATE).alias("status"))
+    leads = clash.select(F.col("a").alias("id"), F.when(F.col("clash"), CONFLICT).otherwise(KEPT).alias("status"))
+    found = members.unionByName(leads)
+    return rows.select(F.col("id").cast("long").alias("id")).join(found, "id", "left").select("id", F.coalesce("status", F.lit(KEPT)).alias("status"))
+
+
+def merge_copies(rows: DataFrame, links: DataFrame, gather: int = 200_000) -> DataFrame:
+    """Pairs in order: labels differ, both go; else the second goes if the first is still there. rows: id, label. Returns id, dropped."""
+    arcs = _arcs(rows, links).withColumn("differs", ~F.col("la").eqNullSafe(F.col("lb")))
+    arcs = stored(arcs.select("a", "b", "differs"))
+    # a row drops others until its first conflict with a larger one, unless a smaller one has dropped it by then
+    until = arcs.where("differs").groupBy("a").agg(F.min("b").alias("until"))
+    dead = arcs.where("differs").select(F.col("b").alias("node")).distinct()
+    live = arcs.where("not differs").join(until, "a", "left").where("until is null or b < until").select("a", "b")
+    live = live.join(dead.select(F.col("node").alias("a")), "a", "left_anti").join(dead.select(F.col("node").alias("b")), "b", "left_anti")
+    gone = beaten(live, gather).union(dead).union(arcs.where("differs").select("a")).distinct().select(F.col("node").alias("id"), F.lit(True).alias("dropped"))
+    return rows.select(F.col("id").cast("long").alias("id")).join(gone, "id", "left").select("id", F.coalesce("dropped", F.lit(False)).alias("dropped"))
+
+
+class _Sets:
+    """Disjoint sets as lists of members; the shorter list moves."""
+
+    def __init__(self):
+        self.home: dict[int, list] = {}
+
+    def of(self, x: int, size: int) -> list:
+        """[size, members...] of x's set."""
+        return self.home.setdefault(x, [size, x])
+
+    def join(self, one: list, other: list) -> None:
+        one, other = (other, one) if len(other) > len(one) else (one, other)
+        one[0] += other[0]
+        one.extend(other[1:])
+        for x in other[1:]:
+            self.home[x] = one
+
+
+def capped_clusters(rows: DataFrame, links: DataFrame, most: int = 64, gather: int = 200_000) -> DataFrame:
+    """Pairs in order join their clusters; a union that would pass `most` members is skipped and counted. rows: id, label (not read). Returns id, cluster
+    (its smallest id), blocked (skipped unions whose first row it is)."""
+    pairs = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b").distinct()
+    ids = rows.select(F.col("id").cast("long").alias("id"))
+    pairs = pairs.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    pairs = stored(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"), F.lit(1).cast("long").alias("sa"), F.lit(1).cast("long").alias("sb")))
+    homes, blocked = ids.select("id", F.col("id").alias("cluster")), None
+    while (left := pairs.count()) > gather:
+        # a pair is settled now if no earlier one touches either of its clusters
+        ends = F.explode(F.array("ca", "cb")).alias("c")
+        first = pairs.select(ends, "a", "b").groupBy("c").agg(F.min(F.struct("a", "b")).alias("x")).select("c", "x.*")
+        ready = pairs.join(first.withColumnRenamed("c", "ca"), ["ca", "a", "b"], "left_semi").join(first.withColumnRenamed("c", "cb"), ["cb", "a", "b"], "left_semi")
+        ready = stored(ready.withColumn("fits", F.col("sa") + F.col("sb") <= most))
+        skipped = ready.where("not fits").select(F.col("a").alias("id"))
+        blocked = stored(skipped if blocked is None else blocked.union(skipped))
+        moves = ready.where("fits").select(F.greatest("ca", "cb").alias("was"), F.least("ca", "cb").alias("now"), (F.col("sa") + F.col("sb")).alias("size"))
+        moves = stored(moves.union(moves.select(F.col("now").alias("was"), "now", "size")))
+        homes = stored(homes.join(moves.select(F.col("was").alias("cluster"), "now"), "cluster", "left").select("id", F.coalesce("now", "cluster").alias("cluster")))
+        pairs = pairs.join(ready.select("a", "b"), ["a", "b"], "left_anti")
+        for s in ("a", "b"):
+            found = moves.select(F.col("was").alias(f"c{s}"), F.col("now").alias("now"), F.col("size").alias("grown"))
+            pairs = pairs.join(found, f"c{s}", "left").withColumn(f"c{s}", F.coalesce("now", f"c{s}")).withColumn(f"s{s}", F.coalesce("grown", f"s{s}")).drop("now", "grown")
+        pairs = stored(pairs.where("ca <> cb").select("a", "b", "ca", "cb", "sa", "sb"))
+    if left:
+
+        def rest(table: pa.Table) -> pa.Table:  # at most `gather` pairs
+            sets, skips = _Sets(), []
+            for a, _, ca, cb, sa, sb in sorted(zip(*(table.column(c).to_pylist() for c in ("a", "b", "ca", "cb", "sa", "sb")), strict=True)):
+                one, other = sets.of(ca, sa), sets.of(cb, sb)
+                if one is other:
+                    continue
+                if one[0] + other[0] <= most:
+                    sets.join(one, other)
+                else:
+                    skips.append(a)
+            was = list(sets.home)
+            names = {id(s): min(s[1:]) for s in sets.home.values()}
+            moved = [names[id(sets.home[c])] for c in was]
+            return pa.table({"was": pa.array(was + [None] * len(skips), pa.int64()), "now": pa.array(moved + [None] * len(skips), pa.int64()), "skip": pa.array([None] * len(was) + skips, pa.int64())})
+
+        last = stored(pairs.groupBy().applyInArrow(rest, "was long, now long, skip long"))
+        homes = homes.join(last.where("was is not null").select(F.col("was").alias("cluster"), "now"), "cluster", "left").select("id", F.coalesce("now", "cluster").alias("cluster"))
+        skipped = last.where("skip is not null").select(F.col("skip").alias("id"))
+        blocked = skipped if blocked is None else blocked.union(skipped)
+    if blocked is None:
+        return homes.withColumn("blocked", F.lit(0).cast("long"))
+    counts = blocked.groupBy("id").agg(F.count(F.lit(1)).alias("blocked"))
+    return homes.join(counts, "id", "left").select("id", "cluster", F.coalesce("blocked", F.lit(0)).alias("blocked"))

@@ -1,50 +1,100 @@
 """Near-duplicate joins over unit vectors (`unit`) and 64-bit fingerprints (`bits`).
 
-Within a block the join is an equi-join on the block key with the similarity as residual condition; the guard across pools has no block key,
-so its protected side is cut into chunks of `chunk` rows that are joined one (chunk, row) at a time, or by bands where only bits count.
+Rows are cut into chunks of about `size` rows per block, by a hash of their key, and each pair of chunks is a group of its own: its cosines are one
+matrix product and its distances one table of bit counts, so a hot block is spread over many tasks of bounded memory and nothing is broadcast.
+Where only bits count, `banded_pairs` finds candidates by equal band values.
+
+Defined results: rows with a null key, unit or bits have no pairs; a null block equals no block; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions.vectors import dot
 
+def _side(rows: DataFrame, key: str, block: str | None) -> DataFrame:
+    named = rows.select((F.col(block) if block else F.lit(0)).alias("block"), F.col(key).cast("long").alias("k"), F.col("unit").alias("unit"), F.col("bits").alias("bits"))
+    return named.where("block is not null and k is not null and unit is not null and bits is not null")
+
+
+def _chunks(rows: DataFrame, size: int) -> DataFrame:
+    return rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("n"))
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    units = table.column("unit").combine_chunks()
+    return np.asarray(table.column("k")), np.asarray(units.flatten(), np.float64).reshape(table.num_rows, -1), np.asarray(table.column("bits")).astype(np.int64).view(np.uint64)
+
+
+def _compared(left: DataFrame, right: DataFrame, solve, schema: str, size: int) -> DataFrame:
+    """solve(keys, units, bits of a left chunk, the same of a right chunk) for every pair of chunks of a block."""
+    counts = _chunks(left, size).withColumnRenamed("n", "nl").join(_chunks(right, size).withColumnRenamed("n", "nr"), "block")
+    own = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ("block", "i", "j", "k", "unit", "bits")
+    one = left.join(counts, "block").withColumn("i", own("nl")).withColumn("j", every("nr")).select(*names)
+    other = right.join(counts, "block").withColumn("j", own("nr")).withColumn("i", every("nl")).select(*names)
+
+    def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        fields = [f.split(" ")[0] for f in schema.split(", ")]
+        types = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+        kinds = [types[f.split(" ")[1]] for f in schema.split(", ")]
+        found = solve(*_arrays(a), *_arrays(b)) if a.num_rows and b.num_rows else [[] for _ in fields]
+        columns = [pa.array(c, t) for c, t in zip(found, kinds, strict=True)]
+        return pa.table([pa.array([key[0].as_py()] * len(columns[0]), key[0].type), *columns], names=["block", *fields])
 
-def near_pairs(rows: DataFrame, key: str, block: str, cosine: float, distance: int) -> DataFrame:
-    """Pairs a < b of one block with cosine >= `cosine` or Hamming distance <= `distance`: a, b, cos, ham."""
-    side = lambda s: rows.select(F.col(block).alias("block"), F.col(key).alias(s), F.col("unit").alias(f"u{s}"), F.col("bits").alias(f"b{s}"))
-    pairs = side("a").join(side("b"), "block").where("a < b")
-    pairs = pairs.select("block", "a", "b", dot("ua", "ub").alias("cos"), F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))).alias("ham"))
-    return pairs.where((F.col("cos") >= cosine) | (F.col("ham") <= distance))
+    block_type = left.schema["block"].dataType.simpleString()
+    return one.groupBy("block", "i", "j").cogroup(other.groupBy("block", "i", "j")).applyInArrow(run, f"block {block_type}, {schema}")
+
+
+def near_pairs(rows: DataFrame, key: str, block: str | None, cosine: float, distance: int, size: int = 2048) -> DataFrame:
+    """Pairs a < b of one block (of all rows without one) with cosine >= `cosine` or Hamming distance <= `distance`: block, a, b, cos, ham."""
+
+    def solve(ka, ua, ba, kb, ub, bb):
+        cos, ham = ua @ ub.T, np.bitwise_count(ba[:, None] ^ bb[None, :])
+        i, j = np.nonzero(((cos >= cosine) | (ham <= distance)) & (ka[:, None] < kb[None, :]))
+        return ka[i], kb[j], cos[i, j], ham[i, j].astype(np.int32)
+
+    return _compared(_side(rows, key, block), _side(rows, key, block), solve, "a long, b long, cos double, ham int", size)
 
 
 def banded_pairs(rows: DataFrame, key: str, distance: int, bits: int = 64) -> DataFrame:
-    """All pairs a < b within a Hamming distance, exactly: by the pigeonhole principle they agree on one of distance + 1 bands."""
-    edges = [round(k * bits / (distance + 1)) for k in range(distance + 2)]
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("bits", bits - e).bitwiseAND(F.lit((1 << (e - s)) - 1)).alias("value")) for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False))])
+    """All pairs a < b within a Hamming distance, exactly. Of m bands one differs in at most distance // m bits, so one side stands under its
+    own band values and the other under all values that near; m grows as bands of about log2(rows) bits fit, with at most 3 bits to flip."""
+    n = rows.count()
+    m = min(distance + 1, max(-(-(distance + 1) // 4), round(bits / max(math.log2(max(n, 2)), 1))))
+    edges = [round(k * bits / m) for k in range(m + 1)]
+    wide = [e - s for s, e in zip(edges, edges[1:], strict=False)]
+    value = lambda s, e: F.shiftrightunsigned("bits", bits - e).bitwiseAND(F.lit((1 << (e - s)) - 1))
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), value(edges[k], edges[k + 1]).alias("value")) for k in range(m)])
     cut = rows.select(F.col(key).alias("id"), "bits", F.explode(bands).alias("x")).select("id", "bits", "x.band", "x.value")
-    left, right = cut.withColumnsRenamed({"id": "a", "bits": "ba"}), cut.withColumnsRenamed({"id": "b", "bits": "bb"})
+    flips = {w: [sum(1 << p for p in some) for r in range(distance // m + 1) for some in combinations(range(w), r)] for w in set(wide)}
+    masks = F.array(*[F.array(*[F.lit(f).cast("long") for f in flips[w]]) for w in wide])
+    near = cut.withColumn("flip", F.explode(F.get(masks, F.col("band")))).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
+    left, right = near.withColumnsRenamed({"id": "a", "bits": "ba"}), cut.withColumnsRenamed({"id": "b", "bits": "bb"})
     pairs = left.join(right, ["band", "value"]).where("a < b").withColumn("ham", F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))))
     return pairs.where(F.col("ham") <= distance).select("a", "b", "ham").distinct()
 
 
-def nearest(queries: DataFrame, base: DataFrame, key: str, block: str) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, key: str, block: str, size: int = 2048) -> DataFrame:
     """Per query of `key`: the largest cosine to the base rows of its block, 0 where the block has none."""
-    found = queries.select(key, block, F.col("unit").alias("uq")).join(base.select(block, F.col("unit").alias("ub")), block, "left")
-    return found.groupBy(key).agg(F.coalesce(F.max(dot("uq", "ub")), F.lit(0.0)).alias("near_cos"))
-
-
-def unleaked(candidates: DataFrame, protected: DataFrame, cosine: float, distance: int, most_bytes: int = 64 << 20) -> DataFrame:
-    """Candidates with no protected row near them. The protected side is broadcast up to `most_bytes` by its row count; beyond that both sides are joined chunk by chunk."""
-    n = protected.count()
-    guard = protected.select(F.col("unit").alias("up"), F.col("bits").alias("bp"))
-    near = (dot("unit", "up") >= cosine) | (F.bit_count(F.col("bits").bitwiseXOR(F.col("bp"))) <= distance)
-    if n * 600 <= most_bytes:
-        return candidates.join(F.broadcast(guard), near, "left_anti")
-    chunks = -(-n * 600 // most_bytes)
-    guard = guard.withColumn("chunk", F.pmod(F.xxhash64("up"), F.lit(chunks)))
-    spread = candidates.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
-    hit = spread.join(guard, (spread["chunk"] == guard["chunk"]) & near, "left_semi").drop("chunk").distinct()
-    return candidates.join(hit, candidates.columns[0], "left_anti")
+    solve = lambda ka, ua, ba, kb, ub, bb: (ka, (ua @ ub.T).max(1))
+    found = _compared(_side(queries, key, block), _side(base, key, block), solve, "k long, cos double", size).groupBy(F.col("k").alias(key)).agg(F.max("cos").alias("near_cos"))
+    return queries.select(key).join(found, key, "left").select(key, F.coalesce("near_cos", F.lit(0.0)).alias("near_cos"))
+
+
+def unleaked(candidates: DataFrame, protected: DataFrame, key: str, cosine: float, distance: int, size: int = 2048) -> DataFrame:
+    """Candidates with no protected row near them."""
+
+    def solve(ka, ua, ba, kb, ub, bb):
+        near = (ua @ ub.T >= cosine) | (np.bitwise_count(ba[:, None] ^ bb[None, :]) <= distance)
+        return (ka[near.any(1)],)
+
+    hit = _compared(_side(candidates, key, None), _side(protected, key, None), solve, "k long", size).select(F.col("k").alias(key)).distinct()
+    return candidates.join(hit, key, "left_anti")

@@ -75,7 +75,7 @@ def banded_hamming(spark, sf_dir):
   OR list_sum(list_transform(list_zip(c.s, p.s), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) <= 18))""")
 def leak_guard(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return neardup.unleaked(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), 0.35, 18).select("vec_id")
+    return neardup.unleaked(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), "vec_id", 0.35, 18).select("vec_id")
 
 
 NEAREST = V + """, n AS (SELECT q.vec_id, any_value(q.label) AS label, coalesce(max(list_dot_product(q.e, b.e)), 0) AS near_cos FROM u q LEFT JOIN u b ON b.label = q.label AND b.vec_id % 5 <> 0 WHERE q.vec_id % 5 = 0 GROUP BY q.vec_id),
@@ -95,7 +95,8 @@ def predictions(spark, sf_dir) -> DataFrame:
     centroids = rows.where("not test").select("label", F.posexplode("unit").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     centroids = centroids.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
     test = rows.where("test")
-    scored = test.select("vec_id", F.col("label").alias("truth"), "unit").join(F.broadcast(centroids), how="cross").select("vec_id", "truth", F.col("label").alias("predicted"), F.round(vx.dot("unit", "c"), 9).alias("score"))
+    # one row per label: the centroids are as many as there are labels, and the optimiser broadcasts them only below its size bound
+    scored = test.select("vec_id", F.col("label").alias("truth"), "unit").join(centroids, how="cross").select("vec_id", "truth", F.col("label").alias("predicted"), F.round(vx.dot("unit", "c"), 9).alias("score"))
     best = scored.groupBy("vec_id", "truth").agg(F.max_by("predicted", F.struct("score", -F.col("predicted"))).alias("predicted"))
     near = neardup.nearest(test, rows.where("not test"), "vec_id", "label")
     return best.join(near, "vec_id")
