@@ -54,12 +54,6 @@ def stem(x: Column) -> Column:
     return F.regexp_replace(path_name(x), r"\.[^.]*$", "")
 
 
-def leaf_id(file: Column, options: Column) -> Column:
-    """Leaf key of a photo name: what follows "___", cut at "copy", without its ending; the first option that holds it, else itself."""
-    key = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.element_at(F.split(file, "___"), -1), r"(?i)copy.*$", ""), r"\.[^.]*$", "")))
-    return F.coalesce(F.get(F.filter(options, lambda o: F.contains(o, key)), 0), F.concat(F.lit("solo:"), key))
-
-
 def fill(template: Column, params: Column) -> Column:
     """{name} replaced from the map params; unknown names stay."""
     return F.aggregate(F.map_entries(params), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
@@ -79,3 +73,15 @@ def first_rule(x: Column, rules: list[tuple[str, tuple[str, ...]]], default: str
 def keywords(title: Column, stop: tuple[str, ...]) -> Column:
     words = F.split(F.lower(title), "[^a-z]+")
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*stop)))
+
+
+def leaf_key(file: Column) -> Column:
+    """A photo's leaf: its name without masks, what follows the last "___", cut at "copy", without a photo ending, in lower case."""
+    bare = F.element_at(F.split(F.replace(file, F.lit("_final_masked"), F.lit("")), "___"), -1)
+    return F.lower(F.trim(F.regexp_replace(F.get(F.split(bare, "copy"), 0), r"(?i)\.(jpe?g|png)$", "")))
+
+
+def leaf_choice(label: Column, key: Column, options: Column) -> Column:
+    """Of a key's options the only one, or the first that holds the label; without one the label's own "solo" leaf."""
+    fits = F.when(F.size(options) == 1, options).otherwise(F.filter(options, lambda o: F.contains(o, label)))
+    return F.coalesce(F.get(fits, 0), F.concat(label, F.lit(":::solo_"), key))

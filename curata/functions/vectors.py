@@ -65,3 +65,16 @@ def fit_within(width: Column, height: Column, side: int) -> tuple[Column, Column
     scale = F.least(F.lit(1.0), F.lit(float(side)) / F.greatest(width, height))
     at_least_one = lambda x: F.greatest(F.lit(1), F.round(x * scale).cast("int"))
     return at_least_one(width), at_least_one(height)
+
+
+def centre_crop(width: Column, height: Column, side: int) -> dict[str, Column]:
+    """The size whose shorter side is floor(side / 0.9), aspect kept, and the corner of the centred square of `side`."""
+    short = math.floor(side / 0.9)
+    grown = lambda x: F.greatest(F.lit(short), F.floor(x * short / F.least(width, height)).cast("int"))
+    w, h = grown(width), grown(height)
+    return {"rw": w, "rh": h, "x": F.floor((w - side) / 2).cast("int"), "y": F.floor((h - side) / 2).cast("int")}
+
+
+def mock_weights(digest: Column, classes: int) -> Column:
+    """Weights from 1 to 97 for each class from four hex digits of a digest."""
+    return F.array(*[1 + F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("long") % 97 for i in range(classes)])

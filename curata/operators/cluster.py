@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curata.operators import neardup, ordered
 from curata.operators.scratch import stored
 
 KEPT, DUPLICATE, CONFLICT = 1, 2, 3
@@ -146,3 +147,21 @@ def capped_clusters(rows: DataFrame, links: DataFrame, most: int = 64, gather: i
         return homes.withColumn("blocked", F.lit(0).cast("long"))
     counts = blocked.groupBy("id").agg(F.count(F.lit(1)).alias("blocked"))
     return homes.join(counts, "id", "left").select("id", "cluster", F.coalesce("blocked", F.lit(0)).alias("blocked"))
+
+
+def dedup_statuses(rows: DataFrame, key: str, label: str, source: str, priority: dict[str, int], protected: str, near: tuple, leak: tuple) -> DataFrame:
+    """A pool's statuses: protected rows are deduplicated alone; of the others those near a protected row are look-alikes, and the rest is deduplicated
+    in the order of its sources' priority, then of key. rows: key, label, source, unit, bits. Returns key, source, status."""
+    names = F.create_map(*[F.lit(x) for pair in ((KEPT, "kept"), (DUPLICATE, "duplicate"), (CONFLICT, "label_conflict")) for x in pair])
+
+    def scanned(some: DataFrame, place) -> DataFrame:
+        numbered = stored(ordered.ranked(some.withColumn("_rank", place), ["_rank", key], "_place"))
+        pairs = neardup.near_pairs(numbered, "_place", None, *near).select("a", "b")
+        found = greedy_dedup(numbered.select(F.col("_place").alias("id"), F.col(label).alias("label")), pairs)
+        return numbered.join(found, numbered["_place"] == found["id"]).select(key, source, F.element_at(names, F.col("status")).alias("status"))
+
+    safe, others = rows.where(F.col(source) == protected), rows.where(F.col(source) != protected)
+    clear = neardup.unleaked(others, safe, key, *leak)
+    lost = others.join(clear.select(key), key, "left_anti").select(key, source, F.lit("lookalike").alias("status"))
+    ranks = F.create_map(*[F.lit(x) for pair in priority.items() for x in pair])
+    return scanned(safe, F.lit(0)).unionByName(lost).unionByName(scanned(clear, F.element_at(ranks, F.col(source))))

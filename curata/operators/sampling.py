@@ -73,3 +73,21 @@ def weighted_draw(rows: DataFrame, id_column: str, weight: str, seed: str = "dra
     """Expected `weight` copies of each row: its whole part, and one more with the rest as chance, by a hash of the id. Adds copies."""
     u = F.conv(F.substring(draw_order(seed, id_column), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     return rows.withColumn("copies", (F.floor(weight) + (u < F.col(weight) - F.floor(weight)).cast("int")).cast("long")).where("copies > 0")
+
+
+def capped_classes(rows: DataFrame, label: str, source: str, id_column: str, per_source: int, per_class: int, least: int, seed: str = "s") -> DataFrame:
+    """Classes of fewer than `least` rows go; of the others each source gives at most `per_source` rows, and the class at most `per_class`, shared fairly."""
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(label)
+    some = sample_per_key(rows.join(sizes, label, "left_semi"), [label, source], id_column, per_source, seed)
+    return fair_cap(some, label, source, id_column, per_class, seed)
+
+
+def background_pool(rows: DataFrame, crop: str, id_column: str, n: int) -> DataFrame:
+    """For each crop at most n rows of other crops, in seeded order. Of each crop only its n first rows for every other crop can be among them, so
+    each pair of crops is cut on its own before the crops meet."""
+    crops = rows.select(F.col(crop).alias("_for")).distinct()
+    key = F.md5(F.concat(F.col("_for"), F.lit(":"), F.col(id_column).cast("string")))
+    other = rows.join(crops, F.col(crop) != F.col("_for")).withColumn("_key", key)  # one copy per crop, cut at once
+    each = other.withColumn("_k", F.row_number().over(Window.partitionBy("_for", crop).orderBy("_key", id_column))).where(F.col("_k") <= n)
+    best = each.withColumn("_k", F.row_number().over(Window.partitionBy("_for").orderBy("_key", id_column))).where(F.col("_k") <= n)
+    return best.select(F.col("_for").alias(crop), id_column)

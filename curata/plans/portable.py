@@ -65,7 +65,6 @@ SQL: dict[str, str] = {
     # Reuse by text, new work, and orphans
     "clip_reuse": """SELECT d.doc_id, o.clip, o.clip IS NULL AS fresh FROM documents d LEFT JOIN (SELECT text, min(doc_id) AS clip FROM documents WHERE doc_id % 2 = 0 GROUP BY text) o ON o.text = d.text WHERE d.doc_id % 2 = 1""",
     "orphans": "SELECT l.doc_id FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL",
-    "shared_clips": "SELECT doc_id, dense_rank() OVER (ORDER BY text) AS clip FROM documents WHERE lang = 'es'",
     # Group size on each row; rare classes go
     "rare_class_drop": "SELECT p_partkey, p_brand, n FROM (SELECT p_partkey, p_brand, count(*) OVER (PARTITION BY p_brand, p_size) AS n FROM part) x WHERE n >= 3",
     # One row per (cluster, label)
@@ -93,8 +92,6 @@ SQL: dict[str, str] = {
     # K4: two always, a third only with a share of 0.05
     "crop_buttons": """SELECT user_id, event_type FROM (SELECT user_id, event_type, sum(value) / sum(sum(value)) OVER (PARTITION BY user_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY sum(value) DESC, event_type) AS place
       FROM events GROUP BY user_id, event_type) x WHERE place <= 2 OR (place = 3 AND p >= 0.05)""",
-    # K5: stable order by priority
-    "priority_order": "SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id) AS place FROM documents",
     # K6: a fixed value first, then by name
     "healthy_first": "SELECT n_name, row_number() OVER (ORDER BY n_regionkey, CASE WHEN n_name = 'CHINA' THEN 0 ELSE 1 END, n_name) AS place FROM nation",
     # Most frequent mix-ups with their share
@@ -117,8 +114,6 @@ SQL: dict[str, str] = {
       CASE event_type WHEN 'purchase' THEN 'DISEASE' WHEN 'view' THEN 'HEALTHY' ELSE 'UNCERTAIN' END AS status FROM events""",
     # titles of the sick left out
     "title_exclusion": "SELECT count(*) AS n FROM documents WHERE NOT (lower(text) LIKE '%disease%' OR lower(text) LIKE '%rot%')",
-    # A random 80/20 cut in md5 order
-    "random_cut": "SELECT doc_id, CASE WHEN place <= 0.8 * n THEN 'train' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR(20))), doc_id) AS place, count(*) OVER (PARTITION BY 1) AS n FROM documents) x",
     # Capped equal-share weights
     "capped_share_weights": """SELECT l.event_id, round(least(CAST(10000 AS DOUBLE) / c.classes, CAST(4 AS DOUBLE) * s.n) / s.n, 9) AS weight FROM events l JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) s ON s.event_type = l.event_type
       CROSS JOIN (SELECT count(DISTINCT event_type) AS classes FROM events) c""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curata.functions import text as tx
 from curata.functions import vectors as vx
 from curata.operators import cluster, decide, evaluate, neardup, sampling
-from curata.plans import portable
+from curata.plans import extended, portable
 from curata.sources.tables import TABLES, load, register
 from curata.streaming import votes
 
@@ -299,5 +299,9 @@ def json_decode(spark, sf_dir):
 @query()
 def vote_smoother(spark, sf_dir):
     events = load(spark, sf_dir, "events")
-    scans = events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("label"), F.least(F.col("value") / 100, F.lit(1.0)).alias("p"), F.lit("").alias("control"))
+    scans = events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("label"), F.least(F.col("value") / 100, F.lit(1.0)).alias("p"), F.when(F.col("event_type") == "error", "reset").otherwise("").alias("control"))
     return votes.smooth_batch(scans, 0.28, 0.5)
+
+
+QUERIES.update(extended.QUERIES)
+ORACLE_SQL.update(extended.ORACLE_SQL)

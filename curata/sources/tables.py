@@ -97,3 +97,78 @@ def card(counts: DataFrame, title: str, limit: int = 200) -> str:
     names = counts.columns
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "-|" * len(names)]
     return "\n".join(lines + ["| " + " | ".join(str(v) for v in row) + " |" for row in counts.limit(limit).collect()])
+
+
+def shared_scans(wanted: DataFrame, rows: DataFrame, source: str, crop: str) -> DataFrame:
+    """wanted (crop, source): classes that draw on the same source share one scan of it. Counts per (source, crop), 0 where a source has none."""
+    counts = rows.groupBy(source, crop).agg(F.count(F.lit(1)).alias("count"))
+    return wanted.join(counts, [source, crop], "left").select(source, crop, F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def only_sources(rows: DataFrame, source: str, allowed=None) -> DataFrame:
+    """rows, or where `allowed` is given those of sources that it holds for."""
+    return rows if allowed is None else rows.where(F.col(source).isNotNull() & allowed)
+
+
+def by_value_set(rows: DataFrame, values: set[str]) -> DataFrame:
+    """The rows whose normalised value is one of `values`, in the text column that has most such rows (the first of equals): found in one aggregate."""
+    names = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
+    hit = lambda c: F.coalesce(F.lower(F.trim(c)).isin(*sorted(values)), F.lit(False))
+    counts = rows.agg(*[F.count_if(hit(c)).alias(c) for c in names]).first()
+    best = max(names, key=lambda c: counts[c])
+    return rows.where(hit(best)) if counts[best] else rows.limit(0)
+
+
+def _children(spark: SparkSession, folder: str) -> list[tuple[str, bool]]:
+    """Paths in a folder of any file system that Spark reads, in order, and whether each is a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted((f.getPath().toString(), f.isDirectory()) for f in found)
+
+
+def walk_dirs(spark: SparkSession, base: str, max_depth: int) -> list[str]:
+    """Folders below base, at most max_depth deep; folders that hold files only are class folders and are not entered. A planning step on the driver."""
+    out, level = [], [base]
+    for _ in range(max_depth):
+        level = [path for folder in level for path, is_folder in _children(spark, folder) if is_folder]
+        out += level
+    return out
+
+
+def find_dir(spark: SparkSession, base: str, test, max_depth: int = 6) -> str | None:
+    """The first folder, nearest to base, for whose children's names (a list) `test` holds."""
+    for folder in [base, *walk_dirs(spark, base, max_depth)]:
+        if test([p.rsplit("/", 1)[-1] for p, _ in _children(spark, folder)]):
+            return folder
+    return None
+
+
+def choose_config(names: list[str]) -> str | None:
+    """Of a data set's configurations "raw", else "default", else the first that is not augmented."""
+    plain = [n for n in names if "augment" not in n.lower()]
+    return next((n for wanted in ("raw", "default") for n in names if n.lower() == wanted), plain[0] if plain else None)
+
+
+def file_cursor(spark: SparkSession, path: str) -> DataFrame:
+    """display_name and size of a file, no row where it is missing; contents are not read."""
+    path_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not path_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path_):
+        return spark.createDataFrame([], "display_name string, size long")
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("display_name"), F.col("length").alias("size"))
+
+
+def zip_archives(files: DataFrame, by: str, most_bytes: int = 64 << 20) -> DataFrame:
+    """files (by, file, payload): uncompressed zips of about `most_bytes`, several for a large role: by, part, archive. Files are dealt to parts by a hash of their name."""
+    sizes = files.groupBy(by).agg(F.greatest(F.ceil(F.sum(F.length("payload")) / F.lit(most_bytes)), F.lit(1)).cast("int").alias("_parts"))
+    dealt = files.join(sizes, by).withColumn("part", F.pmod(F.xxhash64("file"), F.col("_parts")).cast("int")).select(by, "part", "file", "payload")
+
+    def pack(pdf):
+        import pandas as pd
+
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED) as z:
+            for name, payload in sorted(zip(pdf["file"], pdf["payload"], strict=True)):
+                z.writestr(zipfile.ZipInfo(name), payload)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "part": [pdf["part"].iloc[0]], "archive": [held.getvalue()]})
+
+    return dealt.groupBy(by, "part").applyInPandas(pack, f"`{by}` {files.schema[by].dataType.simpleString()}, part int, archive binary")

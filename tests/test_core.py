@@ -69,7 +69,7 @@ def test_macro_f1_ignores_predicted_only_classes(spark):
 def test_text_functions(spark):
     import hashlib
 
-    row = spark.createDataFrame([("Apple___Black rot (old) copy 2.JPG",)], "x string").select(tx.norm("x").alias("a"), tx.norm_tight("x").alias("b"), tx.slug(F.col("x")).alias("c"), tx.stable_bucket(F.col("x"), 5).alias("d"), tx.leaf_id(F.col("x"), F.array(F.lit("u black rot (old)"))).alias("e")).first()
+    row = spark.createDataFrame([("Apple___Black rot (old) copy 2.JPG",)], "x string").select(tx.norm("x").alias("a"), tx.norm_tight("x").alias("b"), tx.slug(F.col("x")).alias("c"), tx.stable_bucket(F.col("x"), 5).alias("d"), tx.leaf_choice(F.lit("u"), tx.leaf_key(F.col("x")), F.array(F.lit("u black rot (old)"), F.lit("v"))).alias("e")).first()
     assert row.a == "apple black rot old copy 2 jpg" and row.b == "appleblackrotoldcopy2jpg" and row.c == "apple_black_rot_old_copy_2_jpg"
     assert row.d == int(hashlib.md5(b"Apple___Black rot (old) copy 2.JPG").hexdigest(), 16) % 5 and row.e == "u black rot (old)"
 
