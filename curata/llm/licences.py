@@ -1,8 +1,9 @@
 """Licence scans by sentence rules (DataFrame functions only, no shuffle).
 
-A text is cut into sentences; each is normalised (lower case, runs of other than letters, digits and dots of a number to one
-space) and looked up among the known sentences; the identifiers found, in text order, are matched against ordered rules. A
-rule is a sequence of identifiers that must occur in this order, other sentences between them allowed; the first rule that fits a licence decides.
+A text is cut into sentences at full stops and the like and at blank lines; single line ends inside a sentence are wraps. Each sentence is normalised (lower
+case, runs of other than letters, digits, dots, commas and hyphens to one space, none before a comma or dot) and looked up among the known sentences of the licences' published texts.
+Where a sentence is not known as it stands, it is tried from each of its lines on, and each line alone, so that a heading above without a full stop does not hide it. The identifiers found, in text order, are matched against ordered rules. A
+rule is a sequence of identifiers that must occur in this order, other sentences between them allowed; of the rules of one family the first that fits decides.
 The known sentences and rules are a small fixed table held in the plan, not data that grows.
 
 Defined results: null and empty texts have no licence; a sentence that occurs again counts again in `sentence_ids`, once in
@@ -11,49 +12,108 @@ Defined results: null and empty texts have no licence; a sentence that occurs ag
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.llm.common import table, text_of
 
-#: Normalised sentences of public licences and their identifiers.
-SENTENCES = {
-    "licensed under the apache license, version 2.0": "apache-2.0/notice",
-    "you may not use this file except in compliance with the license": "apache-2.0/compliance",
-    "released under the mit license": "mit/notice",
-    "permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit/grant",
-    "the software is provided as is, without warranty of any kind": "mit/warranty",
-    "this work is licensed under the gnu general public license, version 3": "gpl-3.0/notice",
-    "this program is free software": "gpl/free",
-    "licensed under cc by-nc 4.0": "cc-by-nc-4.0/notice",
-    "licensed under cc by 4.0": "cc-by-4.0/notice",
-    "licensed under cc by-sa 4.0": "cc-by-sa-4.0/notice",
-    "redistribution and use in source and binary forms, with or without modification, are permitted": "bsd/grant",
-    "neither the name of the copyright holder nor the names of its contributors may be used": "bsd/names",
-    "all rights reserved": "rights/reserved",
-}
-#: Ordered rules (name, licence, identifiers in order); an earlier rule wins over later ones of the same licence.
+#: Identifiers and sentences of the published licence texts and notices.
+PUBLISHED = (
+    ("apache-2.0/notice", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0/notice", "Licensed under the Apache License, Version 2.0 (the \"License\")"),
+    ("apache-2.0/compliance", "you may not use this file except in compliance with the License"),
+    ("apache-2.0/copy", "You may obtain a copy of the License at"),
+    ("apache-2.0/as-is", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("apache-2.0/limits", "See the License for the specific language governing permissions and limitations under the License"),
+    ("mit/notice", "Released under the MIT License"),
+    ("mit/notice", "Licensed under the MIT License"),
+    ("mit/grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("mit/copies", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit/warranty", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    ("mit/liability", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    ("bsd/grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd/source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd/binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd/names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd/warranty", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"),
+    ("gpl/free", "This program is free software"),
+    ("lgpl/free", "This library is free software"),
+    ("gpl/terms", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl/terms-version-2", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("lgpl/terms", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl/terms", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("gpl/terms-comma-3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl/terms-comma-3", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("agpl/terms-comma-3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("gnu/version-2", "either version 2 of the License, or (at your option) any later version"),
+    ("gnu/version-2.1", "either version 2.1 of the License, or (at your option) any later version"),
+    ("gnu/version-3", "either version 3 of the License, or (at your option) any later version"),
+    ("gpl-3.0/notice", "This work is licensed under the GNU General Public License, version 3"),
+    ("mpl-2.0/notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
+    ("mpl-2.0/copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("mpl-2.0/copy", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    ("isc/grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc/warranty", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"),
+    ("unlicense/grant", "This is free and unencumbered software released into the public domain"),
+    ("zlib/warranty", "This software is provided 'as-is', without any express or implied warranty"),
+    ("zlib/grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("bsl-1.0/notice", "Distributed under the Boost Software License, Version 1.0"),
+    ("cc-by-4.0/notice", "Licensed under CC BY 4.0"),
+    ("cc-by-4.0/notice", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-4.0/notice", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-4.0/notice", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa-4.0/notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4.0/notice", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc-4.0/notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("rights/reserved", "All rights reserved"),
+)
+#: Ordered rules (name, family, licence, identifiers in order).
 RULES = (
-    ("apache-2.0-full", "Apache-2.0", ("apache-2.0/notice", "apache-2.0/compliance")),
-    ("apache-2.0-notice", "Apache-2.0", ("apache-2.0/notice",)),
-    ("mit-full", "MIT", ("mit/grant", "mit/warranty")),
-    ("mit-notice", "MIT", ("mit/notice",)),
-    ("gpl-3.0-full", "GPL-3.0", ("gpl/free", "gpl-3.0/notice")),
-    ("gpl-3.0-notice", "GPL-3.0", ("gpl-3.0/notice",)),
-    ("cc-by-nc-4.0", "CC-BY-NC-4.0", ("cc-by-nc-4.0/notice",)),
-    ("cc-by-sa-4.0", "CC-BY-SA-4.0", ("cc-by-sa-4.0/notice",)),
-    ("cc-by-4.0", "CC-BY-4.0", ("cc-by-4.0/notice",)),
-    ("bsd-3-clause", "BSD-3-Clause", ("bsd/grant", "bsd/names")),
-    ("bsd-2-clause", "BSD-2-Clause", ("bsd/grant",)),
-    ("proprietary", "All-Rights-Reserved", ("rights/reserved",)),
+    ("apache-2.0-full", "apache", "Apache-2.0", ("apache-2.0/notice", "apache-2.0/compliance")),
+    ("apache-2.0-notice", "apache", "Apache-2.0", ("apache-2.0/notice",)),
+    ("mit-full", "mit", "MIT", ("mit/grant", "mit/warranty")),
+    ("mit-notice", "mit", "MIT", ("mit/notice",)),
+    ("bsd-3-clause", "bsd", "BSD-3-Clause", ("bsd/grant", "bsd/names")),
+    ("bsd-2-clause", "bsd", "BSD-2-Clause", ("bsd/grant", "bsd/binary")),
+    ("gpl-3.0-full", "gpl", "GPL-3.0", ("gpl/free", "gpl-3.0/notice")),
+    ("gpl-3.0-notice", "gpl", "GPL-3.0", ("gpl-3.0/notice",)),
+    ("gpl-3.0-or-later", "gpl", "GPL-3.0-or-later", ("gpl/terms", "gnu/version-3")),
+    ("gpl-3.0-or-later-comma", "gpl", "GPL-3.0-or-later", ("gpl/terms-comma-3",)),
+    ("gpl-2.0-or-later", "gpl", "GPL-2.0-or-later", ("gpl/terms", "gnu/version-2")),
+    ("gpl-2.0-only", "gpl", "GPL-2.0-only", ("gpl/terms-version-2",)),
+    ("lgpl-2.1-or-later", "lgpl", "LGPL-2.1-or-later", ("lgpl/terms", "gnu/version-2.1")),
+    ("lgpl-3.0-or-later", "lgpl", "LGPL-3.0-or-later", ("lgpl/terms", "gnu/version-3")),
+    ("lgpl-3.0-or-later-comma", "lgpl", "LGPL-3.0-or-later", ("lgpl/terms-comma-3",)),
+    ("agpl-3.0-or-later", "agpl", "AGPL-3.0-or-later", ("agpl/terms", "gnu/version-3")),
+    ("agpl-3.0-or-later-comma", "agpl", "AGPL-3.0-or-later", ("agpl/terms-comma-3",)),
+    ("mpl-2.0", "mpl", "MPL-2.0", ("mpl-2.0/notice", "mpl-2.0/copy")),
+    ("isc", "isc", "ISC", ("isc/grant", "isc/warranty")),
+    ("unlicense", "unlicense", "Unlicense", ("unlicense/grant",)),
+    ("zlib", "zlib", "Zlib", ("zlib/warranty", "zlib/grant")),
+    ("bsl-1.0", "bsl", "BSL-1.0", ("bsl-1.0/notice",)),
+    ("cc-by-nc-4.0", "cc-by-nc", "CC-BY-NC-4.0", ("cc-by-nc-4.0/notice",)),
+    ("cc-by-sa-4.0", "cc-by-sa", "CC-BY-SA-4.0", ("cc-by-sa-4.0/notice",)),
+    ("cc-by-4.0", "cc-by", "CC-BY-4.0", ("cc-by-4.0/notice",)),
+    ("proprietary", "proprietary", "All-Rights-Reserved", ("rights/reserved",)),
 )
-#: A sentence ends at a line end, or at . ! ? ; : before white space or the end.
-SENTENCE_END = r"[.!?;:]+(?=\s|$)|[\r\n]+"
-NOISE = r"[^\p{L}\p{N}.,-]+"
+#: A sentence ends at . ! ? ; : before white space or the end, and at a blank line.
+SENTENCE_END = r"[.!?;:]+(?=\s|$)|\r?\n[ \t]*\r?\n"
+NOISE, BEFORE_MARK = r"[^\p{L}\p{N}.,-]+", r" ([.,])"
+#: The known sentences as `normalise` leaves them.
+SENTENCES = {re.sub(BEFORE_MARK, r"\1", re.sub(r"[^a-z0-9.,-]+", " ", text.lower())).strip(" "): name for name, text in PUBLISHED}
+#: A longer piece than this cannot be a known sentence, whatever noise stands between its words.
+LONGEST = 4 * max(map(len, SENTENCES))
 
 
 def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), NOISE, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), NOISE, " "), BEFORE_MARK, "$1"))
+
+
+def _starts(sentences: dict) -> str:
+    """A pattern for lines that begin with the first word of some known sentence."""
+    return r"(?i)^\P{L}*(?:" + "|".join(sorted({s.split(" ")[0] for s in sentences})) + r")\b"
 
 
 def _fits(ids: Column, rule: tuple) -> Column:
@@ -66,14 +126,23 @@ def _fits(ids: Column, rule: tuple) -> Column:
 def scan(docs: DataFrame, sentences: dict = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """Per row: doc_id, n_sentences (known ones), sentence_ids (in text order), licences (sorted), rule (the first that fits)."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    # only sentences with a word that some known sentence starts with are normalised; all known ones have such a word
-    starts = sorted({s.split(" ")[0] for s in sentences})
-    may_fit = r"(?i)^\P{L}*(?:" + "|".join(starts) + r")\b"
-    parts = F.filter(F.split(text_of(), SENTENCE_END), lambda s: F.rlike(s, F.lit(may_fit)))
-    ids = F.filter(F.transform(parts, lambda s: F.element_at(known, normalise(s))), lambda x: x.isNotNull())
+    look = lambda x: F.element_at(known, normalise(F.substring(x, 1, LONGEST)))
+    begins = lambda line: F.rlike(line, F.lit(_starts(sentences)))
+    # only lines that begin as some known sentence does are looked up: with the rest of their sentence, then alone
+    from_line = lambda lines: F.transform(lines, lambda line, i: F.when(begins(line), F.coalesce(look(F.array_join(F.slice(lines, i + 1, F.size(lines)), " ")), look(line))))
+    parts = F.filter(F.split(text_of(), SENTENCE_END), lambda s: F.rlike(s, F.lit(r"(?m)" + _starts(sentences))))
+    ids = F.filter(F.flatten(F.transform(parts, lambda s: from_line(F.split(s, r"\r?\n")))), lambda x: x.isNotNull())
     found = docs.select(F.col("doc_id"), ids.alias("sentence_ids"))
-    fits = F.array(*[F.when(_fits(F.col("sentence_ids"), ids_), F.struct(F.lit(i).alias("i"), F.lit(name).alias("rule"), F.lit(licence).alias("licence"))) for i, (name, licence, ids_) in enumerate(rules)])
-    found = found.withColumn("hits", F.when(F.size("sentence_ids") > 0, F.filter(fits, lambda x: x.isNotNull())))
+    fits, seen = [], {}
+    for i, (name, family, licence, wanted) in enumerate(rules):
+        fit = _fits(F.col("sentence_ids"), wanted)
+        earlier = seen.setdefault(family, [])
+        alone = fit
+        for other in earlier:
+            alone = alone & ~other
+        earlier.append(fit)
+        fits.append(F.when(alone, F.struct(F.lit(i).alias("i"), F.lit(name).alias("rule"), F.lit(licence).alias("licence"))))
+    found = found.withColumn("hits", F.when(F.size("sentence_ids") > 0, F.filter(F.array(*fits), lambda x: x.isNotNull())))
     hits = F.coalesce(F.col("hits"), F.array().cast("array<struct<i:int,rule:string,licence:string>>"))
     return found.select("doc_id", F.size("sentence_ids").alias("n_sentences"), "sentence_ids", F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["licence"]))).alias("licences"), F.try_element_at(hits, F.lit(1))["rule"].alias("rule"))
 
@@ -86,14 +155,26 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({q(s)}, {q(i)})" for s, i in SENTENCES.items())
-    one = lambda ids: "list_contains(ids, " + q(ids[0]) + ")" if len(ids) == 1 else f"(list_position(ids, {q(ids[0])}) IS NOT NULL AND list_contains(ids[list_position(ids, {q(ids[0])}) + 1:], {q(ids[1])}))"
-    licences = ", ".join(f"CASE WHEN {one(ids)} THEN {q(licence)} END" for _, licence, ids in RULES)
-    rule = " ".join(f"WHEN {one(ids)} THEN {q(name)}" for name, _, ids in RULES)
+
+    def one(ids: tuple, of: str = "ids") -> str:
+        if len(ids) == 1:
+            return f"list_contains({of}, {q(ids[0])})"
+        return f"(list_position({of}, {q(ids[0])}) IS NOT NULL AND {one(ids[1:], f'({of})[list_position({of}, {q(ids[0])}) + 1:]')})"
+
+    hits = []
+    for i, (name, family, licence, wanted) in enumerate(RULES):
+        before = "".join(f" AND NOT {one(w)}" for _, f, _, w in RULES[:i] if f == family)
+        hits.append((f"({one(wanted)}{before})", licence, name))
+    licences = ", ".join(f"CASE WHEN {hit} THEN {q(licence)} END" for hit, licence, _ in hits)
+    rule = " ".join(f"WHEN {hit} THEN {q(name)}" for hit, _, name in hits)
+    norm = lambda x: rf"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}.,-]+', ' ', 'g'), ' ([.,])', '\1', 'g'))"
     return rf"""
 WITH known(s, id) AS (VALUES {known}),
-parts AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;:]+(\s|$)', chr(10), 'g'), '[\r\n]+') AS p FROM documents)),
-hit AS (SELECT doc_id, i, id FROM (SELECT doc_id, i, trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}.,-]+', ' ', 'g')) AS s FROM parts) JOIN known USING (s)),
-doc AS (SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d LEFT JOIN (SELECT doc_id, list(id ORDER BY i) AS ids FROM hit GROUP BY doc_id) USING (doc_id))
+parts AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;:]+(\s|$)', chr(10) || chr(10), 'g'), '\r?\n[ \t]*\r?\n') AS p FROM documents)),
+lines AS (SELECT doc_id, i, l, unnest(l) AS line, generate_subscripts(l, 1) AS j FROM (SELECT doc_id, i, string_split_regex(s, '\r?\n') AS l FROM parts WHERE regexp_matches(s, '(?m){_starts(SENTENCES)}'))),
+begun AS (SELECT doc_id, i, j, {norm("array_to_string(l[j:], ' ')")} AS whole, {norm("line")} AS line FROM lines WHERE regexp_matches(line, '{_starts(SENTENCES)}')),
+hit AS (SELECT doc_id, i, j, coalesce(a.id, b.id) AS id FROM begun LEFT JOIN known a ON a.s = whole LEFT JOIN known b ON b.s = line WHERE coalesce(a.id, b.id) IS NOT NULL),
+doc AS (SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d LEFT JOIN (SELECT doc_id, list(id ORDER BY i, j) AS ids FROM hit GROUP BY doc_id) USING (doc_id))
 SELECT doc_id, len(ids)::INT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
   coalesce(array_to_string(list_sort(list_distinct([{licences}])), ','), '') AS licences, CASE {rule} END AS rule
 FROM doc
