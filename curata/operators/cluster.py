@@ -158,7 +158,8 @@ def dedup_statuses(rows: DataFrame, key: str, label: str, source: str, priority:
         numbered = stored(ordered.ranked(some.withColumn("_rank", place), ["_rank", key], "_place"))
         pairs = neardup.near_pairs(numbered, "_place", None, *near).select("a", "b")
         found = greedy_dedup(numbered.select(F.col("_place").alias("id"), F.col(label).alias("label")), pairs)
-        return numbered.join(found, numbered["_place"] == found["id"]).select(key, source, F.element_at(names, F.col("status")).alias("status"))
+        found = found.select(F.col("id").alias("_place"), F.element_at(names, F.col("status")).alias("_status"))
+        return numbered.join(found, "_place").select(key, source, F.col("_status").alias("status"))
 
     safe, others = rows.where(F.col(source) == protected), rows.where(F.col(source) != protected)
     clear = neardup.unleaked(others, safe, key, *leak)

@@ -28,7 +28,10 @@ def query(sql: str | None = None):
     return add
 
 
-BY_USER = Window.partitionBy("user_id").orderBy("event_id")
+def by_user() -> Window:
+    return Window.partitionBy("user_id").orderBy("event_id")
+
+
 r6 = lambda c, name: F.round(c, 6).alias(name)
 
 
@@ -194,7 +197,7 @@ def scan_counters(spark, sf_dir):
 @query("""WITH w AS (SELECT event_id, event_type, list({'l': event_type, 'p': least(value / 100, 1.0)}) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS l FROM events),
   f AS (SELECT event_id, len(l) AS n, list_filter(l, lambda x: x.l = event_type) AS m FROM w) SELECT event_id, len(m)::INT AS votes, round(list_avg(list_transform(m, lambda x: x.p)), 6) AS mean, round(len(m) / n, 6) AS share FROM f""")
 def vote_shares(spark, sf_dir):
-    last = F.collect_list(F.struct(F.col("event_type").alias("l"), F.least(F.col("value") / 100, F.lit(1.0)).alias("p"))).over(BY_USER.rowsBetween(-4, 0))
+    last = F.collect_list(F.struct(F.col("event_type").alias("l"), F.least(F.col("value") / 100, F.lit(1.0)).alias("p"))).over(by_user().rowsBetween(-4, 0))
     rows = load(spark, sf_dir, "events").withColumn("last", last).withColumn("same", F.filter("last", lambda x: x["l"] == F.col("event_type")))
     return rows.select("event_id", F.size("same").alias("votes"), r6(F.aggregate("same", F.lit(0.0), lambda s, x: s + x["p"]) / F.size("same"), "mean"), r6(F.size("same") / F.size("last"), "share"))
 
@@ -203,7 +206,7 @@ def vote_shares(spark, sf_dir):
 @query("""WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events), p AS (SELECT *, step > 5 AS fine, step - 5 AS epoch FROM s)
   SELECT user_id, count(*) FILTER (WHERE step <= coalesce(stop, step)) AS steps, min(stop) AS stop FROM p LEFT JOIN (SELECT user_id, min(step) AS stop FROM p WHERE fine AND epoch >= 3 AND value >= 97 GROUP BY user_id) USING (user_id) GROUP BY user_id""")
 def early_stop_phases(spark, sf_dir):
-    steps = load(spark, sf_dir, "events").withColumn("step", F.row_number().over(BY_USER).cast("long"))
+    steps = load(spark, sf_dir, "events").withColumn("step", F.row_number().over(by_user()).cast("long"))
     stop = F.min(F.when((F.col("step") >= 8) & (F.col("value") >= 97), F.col("step"))).over(Window.partitionBy("user_id"))
     return steps.withColumn("stop", stop).groupBy("user_id").agg(F.count_if(F.col("step") <= F.coalesce("stop", "step")).alias("steps"), F.min("stop").alias("stop"))
 
@@ -214,10 +217,10 @@ def early_stop_phases(spark, sf_dir):
   SELECT a.event_id FROM s a WHERE a.value >= 55 AND coalesce((SELECT CASE WHEN b.value < 55 THEN NULL ELSE b.event_type END FROM s b WHERE b.user_id = a.user_id AND b.event_id < a.event_id AND (b.value >= 55 OR b.streak >= 3) ORDER BY b.event_id DESC LIMIT 1), '') <> a.event_type""")
 def announced(spark, sf_dir):
     rows = load(spark, sf_dir, "events").withColumn("low", F.col("value") < 28)
-    run = F.sum((~F.col("low")).cast("int")).over(BY_USER)
+    run = F.sum((~F.col("low")).cast("int")).over(by_user())
     streak = F.row_number().over(Window.partitionBy("user_id", "run", "low").orderBy("event_id"))
     marks = rows.withColumn("run", run).withColumn("forget", F.col("low") & (streak >= 3)).where("value >= 55 or forget")
-    spoken = F.lag(F.when(~F.col("forget"), F.col("event_type"))).over(BY_USER)
+    spoken = F.lag(F.when(~F.col("forget"), F.col("event_type"))).over(by_user())
     return marks.withColumn("spoken", spoken).where("not forget and not (spoken <=> event_type)").select("event_id")
 
 
@@ -226,9 +229,9 @@ def announced(spark, sf_dir):
   c AS (SELECT *, coalesce(diff < 60 AND value > 10, false) AS calm FROM d), i AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, calm ORDER BY event_id) AS island FROM c)
   SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS run FROM i WHERE calm) WHERE run >= 5 AND k >= 7""")
 def auto_capture(spark, sf_dir):
-    rows = load(spark, sf_dir, "events").withColumn("k", F.row_number().over(BY_USER)).withColumn("diff", F.abs(F.col("value") - F.lag("value").over(BY_USER)))
+    rows = load(spark, sf_dir, "events").withColumn("k", F.row_number().over(by_user())).withColumn("diff", F.abs(F.col("value") - F.lag("value").over(by_user())))
     rows = rows.withColumn("calm", F.coalesce((F.col("diff") < 60) & (F.col("value") > 10), F.lit(False)))
-    breaks = F.sum((~F.col("calm")).cast("int")).over(BY_USER)
+    breaks = F.sum((~F.col("calm")).cast("int")).over(by_user())
     steady = F.sum(F.col("calm").cast("int")).over(Window.partitionBy("user_id", "breaks").orderBy("event_id"))
     return rows.withColumn("breaks", breaks).withColumn("steady", steady).where("calm and steady >= 5 and k >= 7").select("event_id")
 
@@ -251,7 +254,7 @@ def throttled(spark, sf_dir):
 @query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'FAILED' WHEN k = n THEN 'DONE' WHEN k = 1 THEN 'STARTED' ELSE 'RUNNING' END AS state, floor(100 * k / n)::INT AS percent
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)""")
 def progress_states(spark, sf_dir):
-    rows = load(spark, sf_dir, "events").withColumn("k", F.row_number().over(BY_USER)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
+    rows = load(spark, sf_dir, "events").withColumn("k", F.row_number().over(by_user())).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
     state = F.when(F.col("event_type") == "error", "FAILED").when(F.col("k") == F.col("n"), "DONE").when(F.col("k") == 1, "STARTED").otherwise("RUNNING")
     return rows.select("event_id", state.alias("state"), F.floor(100 * F.col("k") / F.col("n")).cast("int").alias("percent"))
 

@@ -123,3 +123,106 @@ def test_query_matches_its_sql(spark, name):
     order = sorted(found.columns)
     rows = lambda df: sorted(tuple(map(_key, r)) for r in df[order].itertuples(index=False))
     assert rows(found) == rows(wanted)
+
+
+def test_order_dependent_scans_equal_plain_loops(spark):
+    import random
+
+    random.seed(3)
+    n, most = 60, 8
+    label = [random.choice("xxxy") for _ in range(n)]
+    pairs = sorted({tuple(sorted(random.sample(range(n), 2))) for _ in range(70)})
+    near = {i: sorted({b if a == i else a for a, b in pairs if i in (a, b)}) for i in range(n)}
+    status, gone, home, blocked = {}, set(), {i: {i} for i in range(n)}, dict.fromkeys(range(n), 0)
+    for i in range(n):
+        if i not in status:
+            taken = [j for j in near[i] if j not in status]
+            clash = any(label[j] != label[i] for j in taken)
+            status.update({j: cluster.CONFLICT if clash else cluster.DUPLICATE for j in taken} | {i: cluster.CONFLICT if clash else cluster.KEPT})
+    for a, b in pairs:
+        if label[a] != label[b]:
+            gone |= {a, b}
+        elif a not in gone:
+            gone.add(b)
+        if home[a] is not home[b]:
+            if len(home[a]) + len(home[b]) > most:
+                blocked[a] += 1
+            else:
+                both = home[a] | home[b]
+                home.update(dict.fromkeys(both, both))
+    rows, links = spark.createDataFrame(list(enumerate(label)), "id long, label string"), _links(spark, [*pairs, pairs[0][::-1], (5, 5), (4, 999)])
+    for gather in (1000, 45):  # at once, and after distributed rounds
+        assert dict(cluster.greedy_dedup(rows, links, gather).collect()) == status
+        assert {r.id for r in cluster.merge_copies(rows, links, gather).collect() if r.dropped} == gone
+        assert {r.id: (r.cluster, r.blocked) for r in cluster.capped_clusters(rows, links, most, gather).collect()} == {i: (min(home[i]), blocked[i]) for i in range(n)}
+    assert cluster.greedy_dedup(rows.limit(0), links).count() == 0
+
+
+def test_dedup_statuses_of_a_small_pool(spark):
+    e = [[1.0, 0.0], [0.0, 1.0], [0.6, 0.8], [-1.0, 0.0]]
+    pool = [(0, "x", "safe", 0), (1, "x", "safe", 0), (2, "x", "low", 0), (3, "x", "low", 1), (4, "x", "high", 1), (5, "y", "low", 3), (6, "x", "high", 3)]
+    rows = spark.createDataFrame([(k, lab, s, e[v], (1 << 50) * v) for k, lab, s, v in pool], "id long, label string, source string, unit array<double>, bits long")
+    got = {r.id: r.status for r in cluster.dedup_statuses(rows, "id", "label", "source", {"high": 0, "low": 1}, "safe", near=(0.99, -1), leak=(0.99, -1)).collect()}
+    assert got == {0: "kept", 1: "duplicate", 2: "lookalike", 3: "duplicate", 4: "kept", 5: "label_conflict", 6: "label_conflict"}
+
+
+def test_banded_pairs_equal_all_pairs(spark):
+    import random
+
+    from curata.operators import neardup
+
+    random.seed(1)
+    words = [random.getrandbits(64) for _ in range(20)]
+    words += [w ^ sum(1 << p for p in random.sample(range(64), k)) for w in words for k in (0, 1, 3, 5, 9)]
+    rows = spark.createDataFrame([(i, w - (1 << 64) if w >> 63 else w) for i, w in enumerate(words)], "id long, bits long")
+    for distance in (0, 3, 9):
+        wanted = {(i, j) for j in range(len(words)) for i in range(j) if (words[i] ^ words[j]).bit_count() <= distance}
+        assert {(r.a, r.b) for r in neardup.banded_pairs(rows, "id", distance).collect()} == wanted
+
+
+def test_files_in_and_out(spark, tmp_path):
+    import io
+    import zipfile
+
+    from pyspark.sql import types as T
+
+    base = tmp_path / "d"
+    for at in ("one/train/rust", "one/train/ok", "two"):
+        (base / at).mkdir(parents=True)
+    (base / "one/train/rust/a.jpg").write_bytes(b"1")
+    names = lambda found: [x.split("/d/")[1] for x in found]
+    assert names(tables.walk_dirs(spark, str(base), 1)) == ["one", "two"] and names(tables.walk_dirs(spark, str(base), 9)) == ["one", "two", "one/train", "one/train/ok", "one/train/rust"]
+    assert names([tables.find_dir(spark, str(base), lambda c: "rust" in c)]) == ["one/train"] and tables.find_dir(spark, str(base), lambda c: "no" in c) is None
+    assert [tables.choose_config(x) for x in (["b_augmented", "default", "raw"], ["x_augmented", "default"], ["augmented", "y"], [])] == ["raw", "default", "y", None]
+    assert [tuple(r) for r in tables.file_cursor(spark, str(base / "one/train/rust/a.jpg")).collect()] == [("a.jpg", 1)] and tables.file_cursor(spark, str(base / "none")).count() == 0
+    files = spark.createDataFrame([("en", "b.jpg", b"22"), ("en", "a.jpg", b"1"), ("de", "c.jpg", b"3")], "role string, file string, payload binary")
+    got = {(r.role, name): z.read(name) for r in tables.zip_archives(files, "role").collect() for z in [zipfile.ZipFile(io.BytesIO(r.archive))] for name in z.namelist()}
+    assert got == {("en", "a.jpg"): b"1", ("en", "b.jpg"): b"22", ("de", "c.jpg"): b"3"}
+    rows = spark.createDataFrame([("x", "NA"), ("", None)], "a string, b string")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in "ab"])
+    tables.write_csv(rows, str(tmp_path / "csv"))
+    assert {tuple(r) for r in tables.read_csv(spark, str(tmp_path / "csv"), schema, keep_empty=True).collect()} == {("x", "NA"), ("", "")}
+    tables.write_json(rows, str(tmp_path / "json"))
+    assert spark.read.schema(schema).json(str(tmp_path / "json")).count() == 2
+    (tmp_path / "one.json").write_text('{"a": "é",\n "z": 1}')
+    assert [tuple(r) for r in tables.read_json(spark, str(tmp_path / "one.json"), schema).collect()] == [("é", None)]
+    tables.write_partitioned(rows, str(tmp_path / "parts"), "a")
+    assert spark.read.parquet(str(tmp_path / "parts")).count() == 2
+    assert tables.card(rows.where("a = 'x'"), "t") == "# t\n\n| a | b |\n|-|-|\n| x | NA |"
+
+
+def test_split_labels_and_capped_weights(spark):
+    row = spark.createDataFrame([("a::b::c", "x/y/z.tar.gz")], "l string, p string").select(*tx.split_label(F.col("l")), tx.stem(F.col("p"))).first()
+    assert tuple(row) == ("a", "b::c", "z.tar")
+    rows = spark.createDataFrame([("a",)] * 100 + [("b",)] * 2, "label string")
+    weights = {r.label: r.weight for r in sampling.capped_weights(rows, "label", 100).distinct().collect()}
+    assert weights == {"a": 0.5, "b": 4.0}
+
+
+def test_stream_drops_repeated_sends(spark, tmp_path):
+    spark.createDataFrame([("k", 1), ("k", 2), ("m", 3)], "client_id string, s long").selectExpr("client_id", "timestamp_seconds(s) AS ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = votes.deduplicated(spark.readStream.schema("client_id string, ts timestamp").parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("sends_out").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.client_id for r in spark.table("sends_out").collect()) == ["k", "m"]
