@@ -68,7 +68,7 @@ def banded_pairs(rows: DataFrame, key: str, distance: int, bits: int = 64) -> Da
     """All pairs a < b within a Hamming distance, exactly. Of m bands one differs in at most distance // m bits, so one side stands under its
     own band values and the other under all values that near; m grows as bands of about log2(rows) bits fit, with at most 3 bits to flip."""
     n = rows.count()
-    m = min(distance + 1, max(-(-(distance + 1) // 4), round(bits / max(math.log2(max(n, 2)), 1))))
+    m = max(2, min(distance + 1, max(-(-(distance + 1) // 4), round(bits / max(math.log2(max(n, 2)), 1)))))
     edges = [round(k * bits / m) for k in range(m + 1)]
     wide = [e - s for s, e in zip(edges, edges[1:], strict=False)]
     value = lambda s, e: F.shiftrightunsigned("bits", bits - e).bitwiseAND(F.lit((1 << (e - s)) - 1))

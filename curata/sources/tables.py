@@ -60,7 +60,8 @@ def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, keep_empty: bool = False) -> DataFrame:
     """CSV with a header; with keep_empty an empty field is the empty string, else null. A byte-order mark is not part of the first name."""
     options = {"nullValue": "\u0000", "emptyValue": ""} if keep_empty else {}
-    return spark.read.schema(schema).options(header="true", enforceSchema="true", **options).csv(path)
+    rows = spark.read.schema(schema).options(header="true", enforceSchema="true", **options).csv(path)
+    return rows.na.fill("") if keep_empty else rows  # unquoted empty fields come as nulls whatever the options say
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
