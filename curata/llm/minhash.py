@@ -10,7 +10,7 @@ Every other pair is confirmed on the shingle sets of the whole texts.
 
 Documents with equal shingle sets form one class and only one of them goes on. Inside a band the members are first compared
 with one hub each, so that a group of near copies costs one comparison per member; then, in `hub_rounds` rounds, the members of bands that still
-hold several components are compared with another hub. What is left is compared by sketch in blocks of bounded size, each pair only in the
+hold several components are compared with another hub, a band no longer once its members have all met. What is left is compared by sketch in blocks of bounded size, each pair only in the
 first band that both share, and of the pairs that pass a block returns those of a spanning forest of its components; once these are confirmed or refuted,
 blocks with untested pairs are asked again for four times as many, until no untested pair joins two components. So confirmed links stay
 linear in the members, and a pair is left unconfirmed only where its documents already have the same component, which is all that the result says of it.
@@ -87,11 +87,11 @@ def _used(rows: np.ndarray) -> np.ndarray:
 
 
 def all_band_keys(registers: np.ndarray, bands: int) -> np.ndarray:
-    """The keys of all bands, empty ones too."""
-    rows = registers.reshape(bands, -1)
+    """The keys of all bands, empty ones too; of one document or of one in each row."""
+    rows = registers.reshape(*registers.shape[:-1], bands, -1)
     with np.errstate(over="ignore"):
-        keys = mix((rows.astype(np.uint64) + np.uint64(1)) * _ODD[: rows.shape[1]])
-        keys = mix(keys.sum(1) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        keys = mix((rows.astype(np.uint64) + np.uint64(1)) * _ODD[: rows.shape[-1]])
+        keys = mix(keys.sum(-1) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return keys.view(np.int64)
 
 
@@ -265,10 +265,11 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
 
     def keys(batches):
         for batch in batches:
-            ids = np.asarray(batch.column("node"))
-            found = [band_keys(np.frombuffer(r, np.uint16), bands) for r in batch.column("registers").to_pylist()]
-            each = [len(f) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64()), pa.array(np.repeat(ids, each), pa.int64())], ["key", "node"])
+            if batch.num_rows:
+                registers = _stack(batch.column("registers"), np.uint16)
+                used = _used(registers.reshape(len(registers), bands, -1))
+                ids = np.repeat(np.asarray(batch.column("node")), used.sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(all_band_keys(registers, bands)[used]), pa.array(ids, pa.int64())], ["key", "node"])
 
     banded = reps.select("node", "registers").mapInArrow(keys, "key long, node long")
     shared = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -295,26 +296,34 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
             remove(before)
         return labels
 
-    # bands that still hold several components: every member with one hub, another one each round
-    open_members = members.select("key", "node", "hub")
+    # bands that still hold several components: every member with one hub, another one each round; round k leaves no pair of
+    # k + 2 members or fewer untested, so that only larger bands go on
+    open_members = members.select("key", "node").withColumn("first", F.lit(None).cast("long")).withColumn("last", F.lit(None).cast("long"))
+    spent = []
     for k in range(hub_rounds):
         named = _labelled(open_members, labels)
-        hub = F.min("node") if k == 0 else F.min_by("node", F.xxhash64("node", "key", F.lit(k)))
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub.alias("hub")).where("low <> high")
-        after = materialise(named.select("key", "node").join(mixed.select("key", "hub"), "key"), "open")
+        order = F.xxhash64("node", "key")
+        hub = F.min("node") if k == 0 else F.min_by("node", F.when((F.col("node") != F.col("first")) & (F.col("last").isNull() | (order > F.col("last"))), order))
+        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), hub.alias("hub"))
+        mixed = mixed.where(f"low <> high and n > {k + 1}").select("key", "n", "hub")
+        joined = named.select("key", "node", "first", "last").join(mixed, "key")
+        state = joined.withColumn("first", F.coalesce("first", "hub")).withColumn("last", F.xxhash64("hub", "key") if k else F.lit(None).cast("long"))
+        after = materialise(state.select("key", "node", "first", "last", "n", "hub"), "open")
         if k:
             remove(open_members)
-        open_members = after
-        pairs = _cross(open_members.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), labels)
+        pairs = _cross(after.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), labels)
         stars = materialise(_likely(pairs.join(known, ["a", "b"], "left_anti"), reps, percent), "stars")
-        if stars.isEmpty():
+        open_members = after.where(f"n > {k + 2}").select("key", "node", "first", "last")
+        spent.append(stars)
+        tested = stars.count()
+        if tested:
+            found = materialise(_confirmed(stars, texts, width, percent), "confirmed")
+            merged(found)
+            remove(found)
+            known = known.unionByName(stars)
+        # a round that tests few pairs merges few components: what is left goes to the blocks
+        if 64 * tested < after.count():
             break
-        found = materialise(_confirmed(stars, texts, width, percent), "confirmed")
-        merged(found)
-        remove(found)
-        known, before = materialise(known.unionByName(stars), "known"), (known, stars)
-        for x in before:
-            remove(x)
 
     # what is left inside a band across components, in blocks of bounded size; a block returns only while it has untested pairs
     named = _labelled(open_members.select("key", "node"), labels)
@@ -368,7 +377,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 85, buckets: int = 1
         if active.isEmpty():
             break
         most *= 4
-    for x in (texts, members, spread, reps):
+    for x in (texts, members, spread, reps, *spent):
         remove(x)
 
     # the smallest node of a component has its smallest doc_id
