@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from curata.llm import bpe, conversation_trie, decontamination, embedding_dedup, exact_dedup, html_text, language_model, licences, minhash, mixing, quality, warc
+from curata.llm import bpe, conversation_trie, decontamination, embedding_dedup, exact_dedup, html_text, language_model, licences, minhash, mixing, quality, search, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_licences": licences.op8_licences,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_html_text": html_text.op10_html_text,
+    "op11_search": search.op11_search,
     "op12_conversation_trie": conversation_trie.op12_conversation_trie,
     "op13_decontamination": decontamination.op13_decontamination,
     "pipeline": pipeline,
@@ -37,6 +38,7 @@ ORACLE_SQL = {
     "op8_licences": licences.SQL,
     "op9_embedding_dedup": embedding_dedup.SQL,
     "op10_html_text": html_text.SQL,
+    "op11_search": search.SQL,
     "op12_conversation_trie": conversation_trie.SQL,
     "op13_decontamination": decontamination.SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
