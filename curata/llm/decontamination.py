@@ -27,7 +27,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(IN_WORD), F.lit(0))
+    """By splitting: collecting the matches of a pattern costs time in the square of a text's length."""
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -35,11 +36,6 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _places(w: Column, k: int) -> Column:
-    """The start, from 1, of each window of k words."""
-    return F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
-
-
 def item_windows(items: DataFrame, width: int) -> DataFrame:
     """Distinct (item_id, k, window), window as its words joined by blanks."""
 
@@ -51,8 +47,23 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     return items.select("item_id", F.explode(_let(words(text_of()), cut)).alias("x")).select("item_id", "x.k", "x.window").distinct()
 
 
-def _hash(window: Column) -> Column:
-    return F.xxhash64(F.split(window, " "))
+def window_hashes(w: Column, k: int) -> Column:
+    """A hash of each window of k words: hashes of 1, 2, 4, ... words are put together pair by pair, so that a window costs about log2(k) hashes of two numbers."""
+
+    def grown(one: Column, power: int, have: Column | None, length: int) -> Column:
+        """one: hashes of `power` words from each place; have: those of the `length` words that the lower bits of k ask for."""
+        if k & power:
+            have, length = (one, power) if have is None else (_pairs(have, one, length), length + power)
+        if 2 * power > k:
+            return F.slice(have, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0)))
+        return _let(_pairs(one, one, power), lambda two: grown(two, 2 * power, have, length))
+
+    return _let(F.transform(w, lambda x: F.xxhash64(x)), lambda one: grown(one, 1, None, 0))
+
+
+def _pairs(left: Column, right: Column, apart: int) -> Column:
+    """At each place the hash of left there and of right `apart` places on; places too near to the end hold values that nothing reads."""
+    return F.zip_with(left, F.slice(right, F.lit(apart + 1), F.size(right)), lambda x, y: F.xxhash64(x, y))
 
 
 def _small(df: DataFrame, rows: int, row_bytes: int, most: int) -> DataFrame:
@@ -66,13 +77,14 @@ def verified_hits(docs: DataFrame, windows: DataFrame, broadcast_bytes: int = 32
     if not lengths:
         return keyed.limit(0).select("doc_id", "text_hash", F.array().cast("array<struct<pos:int,k:int,window:string>>").alias("hits"))
     rows, row_bytes = sum(r.n for r in lengths), 64 + sum(r.bytes for r in lengths) // max(sum(r.n for r in lengths), 1)
-    hashed = _small(windows.select(_hash(F.col("window")).alias("h"), "k", "window"), rows, row_bytes, broadcast_bytes)
+    own_hash = F.coalesce(*[F.when(F.col("k") == r.k, F.get(window_hashes(F.split("window", " "), r.k), F.lit(0))) for r in lengths])
+    hashed = _small(windows.select(own_hash.alias("h"), "k", "window"), rows, row_bytes, broadcast_bytes)
 
     def hashes(w: Column) -> Column:
-        one = lambda k: F.transform(_places(w, k), lambda i: F.xxhash64(F.slice(w, i, F.lit(k))))
-        return F.struct(F.size(w).alias("n"), F.concat(*[one(r.k) for r in lengths]).alias("h"))
+        return F.struct(F.size(w).alias("n"), F.concat(*[window_hashes(w, r.k) for r in lengths]).alias("h"))
 
-    scanned = keyed.select("doc_id", "text_hash", _let(words(F.col("text")), hashes).alias("x")).select("doc_id", "text_hash", "x.n", F.posexplode("x.h").alias("at", "h"))
+    # the outer form, since the optimiser filters the other one by the size of the array, for which it makes the array twice
+    scanned = keyed.select("doc_id", "text_hash", _let(words(F.col("text")), hashes).alias("x")).select("doc_id", "text_hash", "x.n", F.posexplode_outer("x.h").alias("at", "h"))
     found = scanned.join(hashed, "h")
     # the windows of one length stand behind those of all shorter ones
     before, start = F.lit(0), None
@@ -105,7 +117,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_bytes:
     per_text = hits.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.size(_covered(F.col("hits"))).alias("n_hit"))
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
     found = per_text.join(items_met, same, "left").select("id_", "hash_", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    sized = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), F.regexp_count(text_of(), F.lit(IN_WORD)).cast("long").alias("n_words"))
+    sized = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), F.size(F.array_remove(F.split(text_of(), BETWEEN), "")).cast("long").alias("n_words"))
     rows = sized.join(found, same, "left")
     return rows.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
