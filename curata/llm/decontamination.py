@@ -15,12 +15,10 @@ documents gives an empty result and an empty benchmark hits nothing; extra colum
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm.common import LOWER, UPPER, fresh, materialise, remove, table, text_of
+from curata.llm.common import LOWER, UPPER, fresh, let, materialise, remove, table, text_of
 
 IN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
@@ -31,11 +29,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once a row although a lambda inside reads it many times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def item_windows(items: DataFrame, width: int) -> DataFrame:
     """Distinct (item_id, k, window), window as its words joined by blanks."""
 
@@ -44,7 +37,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
         starts = F.when(k > 0, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(k.alias("k"), F.array_join(F.slice(w, i, k), " ").alias("window")))
 
-    return items.select("item_id", F.explode(_let(words(text_of()), cut)).alias("x")).select("item_id", "x.k", "x.window").distinct()
+    return items.select("item_id", F.explode(let(words(text_of()), cut)).alias("x")).select("item_id", "x.k", "x.window").distinct()
 
 
 def window_hashes(w: Column, k: int) -> Column:
@@ -56,9 +49,9 @@ def window_hashes(w: Column, k: int) -> Column:
             have, length = (one, power) if have is None else (_pairs(have, one, length), length + power)
         if 2 * power > k:
             return F.slice(have, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0)))
-        return _let(_pairs(one, one, power), lambda two: grown(two, 2 * power, have, length))
+        return let(_pairs(one, one, power), lambda two: grown(two, 2 * power, have, length))
 
-    return _let(F.transform(w, lambda x: F.xxhash64(x)), lambda one: grown(one, 1, None, 0))
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda one: grown(one, 1, None, 0))
 
 
 def _pairs(left: Column, right: Column, apart: int) -> Column:
@@ -84,7 +77,7 @@ def verified_hits(docs: DataFrame, windows: DataFrame, broadcast_bytes: int = 32
         return F.struct(F.size(w).alias("n"), F.concat(*[window_hashes(w, r.k) for r in lengths]).alias("h"))
 
     # the outer form, since the optimiser filters the other one by the size of the array, for which it makes the array twice
-    scanned = keyed.select("doc_id", "text_hash", _let(words(F.col("text")), hashes).alias("x")).select("doc_id", "text_hash", "x.n", F.posexplode_outer("x.h").alias("at", "h"))
+    scanned = keyed.select("doc_id", "text_hash", let(words(F.col("text")), hashes).alias("x")).select("doc_id", "text_hash", "x.n", F.posexplode_outer("x.h").alias("at", "h"))
     found = scanned.join(hashed, "h")
     # the windows of one length stand behind those of all shorter ones
     before, start = F.lit(0), None
@@ -133,12 +126,12 @@ def without_spans(text: Column, hits: Column) -> Column:
         place = lambda word: word * 2 - shift
         starts = F.filter(covered, lambda c, i: (i == 0) | (F.get(covered, i - 1) != c - 1))
         ends = F.filter(covered, lambda c, i: (i == F.size(covered) - 1) | (F.get(covered, i + 1) != c + 1))
-        return _let(F.struct(starts.alias("starts"), ends.alias("ends")), lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.size(r["starts"])), lambda i: _let(
+        return let(F.struct(starts.alias("starts"), ends.alias("ends")), lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.size(r["starts"])), lambda i: let(
             F.when(i == 0, 1).otherwise(place(F.get(r["ends"], i - 1)) + 1),
             lambda a: F.array_join(F.slice(pieces, a, F.greatest(F.coalesce(place(F.get(r["starts"], i)), F.size(pieces) + 1) - a, F.lit(0))), ""))), ""))
 
     pieces = F.regexp_extract_all(text, F.lit(f"{IN_WORD}|{BETWEEN}"), F.lit(0))
-    return _let(F.struct(pieces.alias("pieces"), F.array_sort(_covered(hits)).alias("covered")), cut)
+    return let(F.struct(pieces.alias("pieces"), F.array_sort(_covered(hits)).alias("covered")), cut)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, remove_: str = "documents", width: int = 10, **options) -> DataFrame:
