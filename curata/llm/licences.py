@@ -2,7 +2,8 @@
 
 A text is cut into sentences at full stops and the like and at blank lines; single line ends inside a sentence are wraps. Each sentence is normalised (lower
 case, runs of other than letters, digits, dots, commas and hyphens to one space, none before a comma or dot) and looked up among the known sentences of the licences' published texts.
-Where a sentence is not known as it stands, it is tried from each of its lines on, and each line alone, so that a heading above without a full stop does not hide it. The identifiers found, in text order, are matched against ordered rules. A
+Where a sentence is not known as it stands, it is tried from each of its lines on, and each line alone, so that a heading above without a full stop does not hide it. Lines are normalised once; since each holds a
+character at least, only the last lines of a piece, as many as the longest known sentence has characters, can begin one that ends with the piece, so the cost is linear in the lines. The identifiers found, in text order, are matched against ordered rules. A
 rule is a sequence of identifiers that must occur in this order, other sentences between them allowed; of the rules of one family the first that fits decides.
 The known sentences and rules are a small fixed table held in the plan, not data that grows.
 
@@ -17,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm.common import table, text_of
+from curata.llm.common import let, table, text_of
 
 #: Identifiers and sentences of the published licence texts and notices.
 PUBLISHED = (
@@ -67,12 +68,29 @@ PUBLISHED = (
     ("cc-by-sa-4.0/notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by-nc-4.0/notice", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc-4.0/notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("apache-2.0/conditions", "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions"),
+    ("apache-2.0/patent", "If You institute patent litigation against any entity (including a cross-claim or counterclaim in a lawsuit) alleging that the Work or a Contribution incorporated within the Work constitutes direct or contributory patent infringement, then any patent licenses granted to You under this License for that Work shall terminate as of the date such litigation is filed"),
+    ("gpl-2.0/preamble", "The licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-2.0/scope", "Activities other than copying, distribution and modification are not covered by this License"),
+    ("gpl-3.0/preamble", "The GNU General Public License is a free, copyleft license for software and other kinds of works"),
+    ("gpl-3.0/practical", "The licenses for most software and other practical works are designed to take away your freedom to share and change the works"),
+    ("agpl-3.0/preamble", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("lgpl-3.0/preamble", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below"),
+    ("lgpl-2.0/terms", "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation"),
+    ("gnu/version-1", "either version 1, or (at your option) any later version"),
+    ("mpl-1.1/notice", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\")"),
+    ("epl-2.0/notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("epl-2.0/text", "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\")"),
+    ("cc0-1.0/notice", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("artistic-2.0/text", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    ("artistic-2.0/preamble", "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed"),
     ("rights/reserved", "All rights reserved"),
 )
 #: Ordered rules (name, family, licence, identifiers in order).
 RULES = (
     ("apache-2.0-full", "apache", "Apache-2.0", ("apache-2.0/notice", "apache-2.0/compliance")),
     ("apache-2.0-notice", "apache", "Apache-2.0", ("apache-2.0/notice",)),
+    ("apache-2.0-text", "apache", "Apache-2.0", ("apache-2.0/patent", "apache-2.0/conditions")),
     ("mit-full", "mit", "MIT", ("mit/grant", "mit/warranty")),
     ("mit-notice", "mit", "MIT", ("mit/notice",)),
     ("bsd-3-clause", "bsd", "BSD-3-Clause", ("bsd/grant", "bsd/names")),
@@ -83,12 +101,23 @@ RULES = (
     ("gpl-3.0-or-later-comma", "gpl", "GPL-3.0-or-later", ("gpl/terms-comma-3",)),
     ("gpl-2.0-or-later", "gpl", "GPL-2.0-or-later", ("gpl/terms", "gnu/version-2")),
     ("gpl-2.0-only", "gpl", "GPL-2.0-only", ("gpl/terms-version-2",)),
+    ("gpl-1.0-or-later", "gpl", "GPL-1.0-or-later", ("gpl/terms", "gnu/version-1")),
+    ("gpl-3.0-text", "gpl", "GPL-3.0", ("gpl-3.0/preamble", "gpl-3.0/practical")),
+    ("gpl-2.0-text", "gpl", "GPL-2.0", ("gpl-2.0/preamble", "gpl-2.0/scope")),
+    ("lgpl-3.0-text", "lgpl", "LGPL-3.0", ("lgpl-3.0/preamble",)),
+    ("agpl-3.0-text", "agpl", "AGPL-3.0", ("agpl-3.0/preamble",)),
+    ("lgpl-2.0-or-later", "lgpl", "LGPL-2.0-or-later", ("lgpl-2.0/terms", "gnu/version-2")),
     ("lgpl-2.1-or-later", "lgpl", "LGPL-2.1-or-later", ("lgpl/terms", "gnu/version-2.1")),
     ("lgpl-3.0-or-later", "lgpl", "LGPL-3.0-or-later", ("lgpl/terms", "gnu/version-3")),
     ("lgpl-3.0-or-later-comma", "lgpl", "LGPL-3.0-or-later", ("lgpl/terms-comma-3",)),
     ("agpl-3.0-or-later", "agpl", "AGPL-3.0-or-later", ("agpl/terms", "gnu/version-3")),
     ("agpl-3.0-or-later-comma", "agpl", "AGPL-3.0-or-later", ("agpl/terms-comma-3",)),
     ("mpl-2.0", "mpl", "MPL-2.0", ("mpl-2.0/notice", "mpl-2.0/copy")),
+    ("mpl-1.1", "mpl", "MPL-1.1", ("mpl-1.1/notice",)),
+    ("epl-2.0", "epl", "EPL-2.0", ("epl-2.0/notice",)),
+    ("epl-2.0-text", "epl", "EPL-2.0", ("epl-2.0/text",)),
+    ("cc0-1.0", "cc0", "CC0-1.0", ("cc0-1.0/notice",)),
+    ("artistic-2.0", "artistic", "Artistic-2.0", ("artistic-2.0/text", "artistic-2.0/preamble")),
     ("isc", "isc", "ISC", ("isc/grant", "isc/warranty")),
     ("unlicense", "unlicense", "Unlicense", ("unlicense/grant",)),
     ("zlib", "zlib", "Zlib", ("zlib/warranty", "zlib/grant")),
@@ -103,8 +132,6 @@ SENTENCE_END = r"[.!?;:]+(?=\s|$)|\r?\n[ \t]*\r?\n"
 NOISE, BEFORE_MARK = r"[^\p{L}\p{N}.,-]+", r" ([.,])"
 #: The known sentences as `normalise` leaves them.
 SENTENCES = {re.sub(BEFORE_MARK, r"\1", re.sub(r"[^a-z0-9.,-]+", " ", text.lower())).strip(" "): name for name, text in PUBLISHED}
-#: A longer piece than this cannot be a known sentence, whatever noise stands between its words.
-LONGEST = 4 * max(map(len, SENTENCES))
 
 
 def normalise(sentence: Column) -> Column:
@@ -126,12 +153,19 @@ def _fits(ids: Column, rule: tuple) -> Column:
 def scan(docs: DataFrame, sentences: dict = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """Per row: doc_id, n_sentences (known ones), sentence_ids (in text order), licences (sorted), rule (the first that fits)."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    look = lambda x: F.element_at(known, normalise(F.substring(x, 1, LONGEST)))
-    begins = lambda line: F.rlike(line, F.lit(_starts(sentences)))
-    # only lines that begin as some known sentence does are looked up: with the rest of their sentence, then alone
-    from_line = lambda lines: F.transform(lines, lambda line, i: F.when(begins(line), F.coalesce(look(F.array_join(F.slice(lines, i + 1, F.size(lines)), " ")), look(line))))
+    look = lambda x: F.element_at(known, x)
+    longest = max(map(len, sentences), default=0)
+
+    def in_piece(lines: Column) -> Column:
+        """lines: the normalised lines of a piece, none empty. Only lines that begin as some known sentence does are looked up: with the rest of their piece, then alone."""
+        rest = lambda i: F.slice(lines, i + 1, F.size(lines))
+        length = lambda i: F.aggregate(rest(i), F.lit(0), lambda n, x: n + F.length(x) + 1)
+        whole = lambda i: F.when(F.size(lines) - i <= longest, F.when(length(i) <= 2 * longest + 1, look(F.regexp_replace(F.array_join(rest(i), " "), BEFORE_MARK, "$1"))))
+        return F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(_starts(sentences))), F.coalesce(whole(i), look(line))))
+
     parts = F.filter(F.split(text_of(), SENTENCE_END), lambda s: F.rlike(s, F.lit(r"(?m)" + _starts(sentences))))
-    ids = F.filter(F.flatten(F.transform(parts, lambda s: from_line(F.split(s, r"\r?\n")))), lambda x: x.isNotNull())
+    lines_of = lambda s: F.filter(F.transform(F.split(s, r"\r?\n"), normalise), lambda x: x != "")
+    ids = F.filter(F.flatten(F.transform(parts, lambda s: let(lines_of(s), in_piece))), lambda x: x.isNotNull())
     found = docs.select(F.col("doc_id"), ids.alias("sentence_ids"))
     fits, seen = [], {}
     for i, (name, family, licence, wanted) in enumerate(rules):
