@@ -3,9 +3,9 @@
 Sketch: the hashes of a document's shingles are dealt over `buckets`; a bucket keeps the smallest hash as its count of leading zeros and the
 `MANTISSA` bits after them (16 bits in all). Registers are cut into bands; documents that agree on a band are candidates. Beside the registers
 stands an odd sketch: `ODD_BITS` bits, each the parity of the number of shingles dealt to it. A candidate pair is dropped where its sketches rule it
-out: shingles of both documents cancel out of the odd sketches, so these differ in at most as many bits as there are shingles that one
-document lacks, and more differing bits than a pair at the threshold can have differing shingles decide it without loss. Where both sets hold `LARGE`
-shingles or more, so does agreement of the registers six standard deviations below the threshold, which loses about one true link in 1e9.
+out: the share of buckets whose registers agree, corrected for agreement by chance, estimates the Jaccard similarity, and a pair goes where that many agreeing buckets
+or fewer have a chance below `MISS` at the threshold; of the rest, shingles of both documents cancel out of the odd sketches, so these differ in at most as many bits
+as there are shingles that one document lacks, and more differing bits than a pair at the threshold can have differing shingles decide it without loss.
 Every other pair is confirmed on the shingle sets of the whole texts.
 
 Documents with equal shingle sets form one class and only one of them goes on. Inside a band the members are first compared
@@ -34,8 +34,8 @@ from curata.llm.common import fresh, hash_spans, lower_bytes, materialise, mix,
 from curata.llm.components import components
 
 MANTISSA, EMPTY, ODD_BITS = 10, 0xFFFF, 2048
-#: From this many shingles on the registers are asked too: the odd sketch fills up with differences of large sets.
-LARGE = 400
+#: The chance with which the estimate may drop a pair at the threshold.
+MISS = 1e-9
 _ODD = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -113,15 +113,34 @@ def chance_collision(n: int, m: int, buckets: int) -> float:
     return float((holds[0] * holds[1]).sum() / either) if either > 0 else 0.0
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
-    """Jaccard estimate from two sketches, corrected for agreement by chance."""
+def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates of pairs of sketches (a row each) of sets of n and m shingles, corrected for agreement by chance, and how many buckets each rests on."""
     used = (a != EMPTY) | (b != EMPTY)
-    seen = int(used.sum())
-    if not seen:
-        return 0.0
-    grid = lambda x: round(2 ** (round(4 * math.log2(max(x, 1))) / 4))
-    chance = chance_collision(grid(n), grid(m), len(a))
-    return (int((used & (a == b)).sum()) / seen - chance) / (1 - chance)
+    seen = used.sum(-1)
+    grid = lambda x: np.rint(4 * np.log2(np.maximum(x, 1))).astype(np.int64)
+    kinds, which = np.unique(grid(n) * 1024 + grid(m), return_inverse=True)
+    size = lambda g: round(2 ** (int(g) / 4))
+    chance = np.array([chance_collision(size(k // 1024), size(k % 1024), a.shape[-1]) for k in kinds])[which]
+    share = (used & (a == b)).sum(-1) / np.maximum(seen, 1)
+    return np.where(seen > 0, (share - chance) / (1 - chance), 0.0), seen
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
+    """The estimate of one pair."""
+    return float(estimates(a[None], b[None], np.array([n]), np.array([m]))[0][0])
+
+
+@lru_cache(8)
+def least_agreeing(buckets: int, percent: int) -> np.ndarray:
+    """For each number of used buckets: the least number of agreeing ones that a pair at the threshold keeps, but for a chance of MISS. Buckets are taken as
+    independent; they are drawn without replacement, which only narrows the spread."""
+    t, out = percent / 100, np.zeros(buckets + 1)
+    for seen in range(1, buckets + 1):
+        k = np.arange(seen + 1)
+        ways = math.lgamma(seen + 1) - np.array([math.lgamma(x + 1) + math.lgamma(seen - x + 1) for x in k])
+        below = np.cumsum(np.exp(ways + k * math.log(t) + (seen - k) * math.log(1 - t)) if t < 1 else (k == seen).astype(float))
+        out[seen] = (below <= MISS).sum()
+    return out
 
 
 def most_differing(n, m, percent: int):
@@ -159,13 +178,12 @@ def _may_reach(sizes_a, sizes_b, regs_a, regs_b, odd_a, odd_b, percent: int) ->
     low, high = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
     differ, most = odd_differ(odd_a, odd_b), most_differing(sizes_a, sizes_b, percent)
     fits = (100 * low >= percent * high) & (differ <= most)
-    large = np.flatnonzero(fits & (low >= LARGE))
-    if len(large):
-        x, y = (regs_a[large] if regs_a.ndim == 2 else regs_a), (regs_b[large] if regs_b.ndim == 2 else regs_b)
-        seen = np.maximum(((x != EMPTY) | (y != EMPTY)).sum(1), 1)
-        same, t = 1 - (x != y).sum(1) / seen, percent / 100
-        # agreement by chance only raises `same`, so leaving it uncorrected here only lets more pairs through
-        fits[large] = same >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(x.shape[1], low[large]))
+    likely = np.flatnonzero(fits)
+    if len(likely):
+        x, y = (regs_a[likely] if regs_a.ndim == 2 else regs_a), (regs_b[likely] if regs_b.ndim == 2 else regs_b)
+        found, seen = estimates(*np.broadcast_arrays(x, y), low[likely], high[likely])
+        # half a bucket is left to the correction, which takes less than that from a pair at the threshold
+        fits[likely] = found * seen + 0.5 >= least_agreeing(x.shape[-1], percent)[seen]
     return fits, differ / (most + 1)
 
 
