@@ -6,11 +6,11 @@ weight, so no loop). A document is taken once for each complete epoch of its sou
 documents of smallest key -ln(u) / quality, u a hash of doc_id and the seed, whole documents while the prefix sum of their sizes
 stays within it, the last one if that brings the source nearer to its target.
 
-The prefix sums do not gather a source in one task: keys fall into ranges by a monotone map that spreads a source evenly, each
+The prefix sums do not gather a source in one task: rows are range-partitioned by source and key, cut at quantiles of the keys that are there, whatever the weights; each
 (source, range) is summed on its own, and ranges are offset by the totals before them.
 
 Defined results: a null text has size 0; a null source is a source, ordered last; empty texts and empty sources take 0 words;
-rows that repeat a doc_id are separate documents with the same key; equal keys are ordered by doc_id and size; an empty table gives an empty mix; extra
+rows that repeat a doc_id are separate documents with the same key, also in several sources; equal keys are ordered by doc_id, size and a hash of the text; an empty table gives an empty mix; extra
 columns are ignored by `mix` and carried through by `mixed_rows`.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curata.llm.common import fresh, materialise, table, text_of, word_count
+from curata.llm.common import fresh, materialise, remove, table, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -60,16 +60,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = 3, seed: st
     ranges = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     sized = docs.withColumn("size", word_count(text_of()))
     weight = quality if quality is not None else quality_weight(text_of(), F.col("size"))
-    keyed = sized.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", sampling_key(F.col("doc_id"), weight, seed).alias("sampling_key"))
-    keyed = keyed.withColumn("part", F.floor(F.lit(float(ranges)) * (F.lit(1.0) - F.exp(-F.col("sampling_key")))).cast("int"))
-    keyed = materialise(keyed, "mix")
+    keyed = sized.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", F.xxhash64(text_of()).alias("text_hash"), sampling_key(F.col("doc_id"), weight, seed).alias("sampling_key"))
+    sized = materialise(keyed, "mix_sizes")  # so that cutting the ranges does not read the texts again
+    keyed = materialise(sized.repartitionByRange(ranges, "source", "sampling_key", "doc_id", "size", "text_hash").withColumn("part", F.spark_partition_id()), "mix")
+    remove(sized)
     totals = keyed.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     quotas = targets(totals.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, max_epochs)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("offset", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     offsets = offsets.join(quotas, same(offsets, quotas)).select(offsets["source"].alias("source_"), F.col("part").alias("part_"), "offset", "source_size", "target")
-    inside = Window.partitionBy("source", "part").orderBy("sampling_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "part").orderBy("sampling_key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.withColumn("prefix", F.sum("size").over(inside))
     rows = placed.join(offsets, F.col("source").eqNullSafe(F.col("source_")) & (F.col("part") == F.col("part_")))
     rows = rows.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
@@ -78,18 +79,24 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = 3, seed: st
     start = upto - F.col("size")
     extra = (F.col("size") > 0) & ((upto <= left) | ((start < left) & (upto - left <= left - start)))  # an empty text adds nothing to a remainder
     taken = F.col("size") * (F.col("epochs") + extra.cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", (F.col("epochs") + extra.cast("long")).alias("copies"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", (F.col("epochs") + extra.cast("long")).alias("copies"), "text_hash")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes at least once, with all their columns; rows that the mix takes several times come as often."""
-    copies, key, times = fresh(docs, "copies_"), fresh(docs, "doc_id_"), fresh(docs, "times_")
-    size = fresh(docs, "size_")
-    plan = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias(key), F.col("size").alias(size)).agg(F.max("copies").alias(copies))
-    with_size = docs.withColumn(times, word_count(text_of()))
-    taken = with_size.join(plan, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(times) == F.col(size)))
+    key, source, hash_, total, rows, times, place = (fresh(docs, c) for c in ("doc_id_", "source_", "hash_", "total_", "rows_", "times_", "place_"))
+    plan = mix(docs, **options).groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("text_hash").alias(hash_)).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows))
+    plan = materialise(plan.where(F.col(total) > 0), "mix_plan")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & docs["source"].eqNullSafe(F.col(source)) & (F.xxhash64(text_of()) == F.col(hash_))
     names = [F.col(c) for c in docs.columns]
-    return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*names)
+    each = F.floor(F.col(total) / F.col(rows)).cast("int")
+    even = docs.join(plan.where(F.col(total) % F.col(rows) == 0), same).withColumn(times, each)
+    # repeated rows of which the mix takes some once more than others: those first by their columns
+    first = Window.partitionBy(key, source, hash_).orderBy(*docs.columns)
+    uneven = docs.join(plan.where(F.col(total) % F.col(rows) != 0), same).withColumn(place, F.row_number().over(first))
+    uneven = uneven.withColumn(times, each + (F.col(place) <= F.col(total) % F.col(rows)).cast("int")).drop(place)
+    taken = even.unionByName(uneven).where(F.col(times) > 0)
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
