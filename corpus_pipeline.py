@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from curata.llm import bpe, exact_dedup, minhash, mixing, quality
@@ -36,6 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digests of the ids and of the bytes decoded from them."""
+    import public_tokenizers  # here, so that only this stage needs the vocabulary files
+
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encoded_with_digests(docs, path, public_tokenizers.PATTERN)
 
