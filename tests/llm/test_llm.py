@@ -28,7 +28,7 @@ def test_query_matches_its_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found, wanted = queries.QUERIES[name](spark, SF).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
     key = lambda v: "null" if v is None or str(v) in ("nan", "<NA>") else f"{float(v):.6g}" if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
