@@ -1,100 +1,257 @@
-"""Near-duplicate joins over unit vectors (`unit`) and 64-bit fingerprints (`bits`).
+"""Near-duplicate joins over unit vectors (`unit`) and 64-bit fingerprints (`bits`), exact and pruned by the triangle inequality.
 
-Rows are cut into chunks of about `size` rows per block, by a hash of their key, and each pair of chunks is a group of its own: its cosines are one
-matrix product and its distances one table of bit counts, so a hot block is spread over many tasks of bounded memory and nothing is broadcast.
-Where only bits count, `banded_pairs` finds candidates by equal band values.
+Pivots are fitted on a bounded sample; every row goes to the cell of its nearest pivot, and a cell's radius is the largest angle (and Hamming distance) of its rows to the
+pivot. A row within the angle t of some row of a cell is within t + radius of the cell's pivot, so it visits only the cells for which that holds, or for which the
+same holds of Hamming distances; of two cells the one with the smaller number visits the other. Small Hamming distances are joined by bands instead. Visitors and rows of a
+cell meet in chunks of about `size` rows: each pair of chunks is a group of its own, its cosines one matrix product, so a hot cell is spread over many
+tasks of bounded memory and nothing is broadcast but the pivots. Pairs of chunks of one cell are made once.
 
-Defined results: rows with a null key, unit or bits have no pairs; a null block equals no block; empty tables give empty results.
+Defined results: rows with a null key, unit or bits have no pairs; a null block equals no block; empty tables give empty results. Bounds leave 1e-6 to rounding.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curata.functions import vectors as vx
+from curata.operators.scratch import stored
+
+SLACK = 1e-6
+#: Band copies of a row up to which Hamming pairs are joined by bands rather than by cells.
+MOST_COPIES = 128
+
 
 def _side(rows: DataFrame, key: str, block: str | None) -> DataFrame:
     named = rows.select((F.col(block) if block else F.lit(0)).alias("block"), F.col(key).cast("long").alias("k"), F.col("unit").alias("unit"), F.col("bits").alias("bits"))
-    return named.where("block is not null and k is not null and unit is not null and bits is not null")
+    return named.where("block is not null and k is not null and unit is not null and bits is not null and size(unit) > 0 and not exists(unit, x -> x is null)")
 
 
-def _chunks(rows: DataFrame, size: int) -> DataFrame:
-    return rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("n"))
+def _arrays(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    units = table.column("unit")
+    units = units.combine_chunks() if isinstance(units, pa.ChunkedArray) else units
+    return np.asarray(table.column("k")), np.asarray(units.flatten(), np.float64).reshape(table.num_rows, -1), np.asarray(table.column("bits")).astype(np.int64).view(np.uint64)
 
 
-def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    units = table.column("unit").combine_chunks()
-    return np.asarray(table.column("k")), np.asarray(units.flatten(), np.float64).reshape(table.num_rows, -1), np.asarray(table.column("bits")).astype(np.int64).view(np.uint64)
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1, 1))
+
+
+def _distances(bits: np.ndarray, pivot_bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits[:, None] ^ pivot_bits[None, :]).astype(np.int64)
+
+
+class Cells:
+    """Pivots fitted on a sample, one for about each `size` rows and at most `most`; the rows in their cells, and the radius of each cell. Rows that fit one cell are left as they are."""
+
+    def __init__(self, side: DataFrame, most: int, size: int, rounds: int = 4):
+        n = side.count()
+        self.rows, self.empty, self.one = side.withColumn("cell", F.lit(0)), not n, n <= size
+        if self.one:
+            return
+        _, units, bits = _arrays(side.select("k", "unit", "bits").orderBy(F.xxhash64("k"), "k").limit(8 * most).toArrow())
+        pivots = units[: max(1, min(most, -(-n // size), len(units)))].copy()
+        for _ in range(rounds):  # spherical k-means on the sample; the bounds hold for any pivots
+            near = (units @ pivots.T).argmax(1)
+            for c in range(len(pivots)):
+                mean = units[near == c].sum(0)
+                if (size := np.linalg.norm(mean)) > 0:
+                    pivots[c] = mean / size
+        near = (units @ pivots.T).argmax(1)
+        self.pivots = pivots
+        self.bits = np.array([bits[near == c][0] if (near == c).any() else 0 for c in range(len(pivots))], np.uint64)
+        home, own_bits = self.pivots, self.bits
+
+        def assign(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    _, u, b = _arrays(batch)
+                    angle = _angles(u, home)
+                    cell = angle.argmin(1)
+                    at = np.arange(len(cell))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle[at, cell]), pa.array(_distances(b, own_bits)[at, cell])], [*batch.schema.names, "cell", "angle", "far"])
+
+        kind = side.schema["block"].dataType.simpleString()
+        self.rows = stored(side.mapInArrow(assign, f"block {kind}, k long, unit array<double>, bits long, cell int, angle double, far long"))
+        self.radius, self.far = np.full(len(pivots), -np.inf), np.full(len(pivots), -(1 << 20), np.int64)
+        for r in self.rows.groupBy("cell").agg(F.max("angle").alias("angle"), F.max("far").alias("far")).collect():  # a row for each pivot
+            self.radius[r.cell], self.far[r.cell] = r.angle, r.far
+
+    def visits(self, side: DataFrame, angle: float | str, distance: int, above_home: bool = False) -> DataFrame:
+        """Rows of side once for each cell that may hold a row within the angle (a number, or a column of side) or the Hamming distance (-1: none): block, k, unit, bits,
+        visit. above_home: only cells of larger numbers than the row's own `cell`."""
+        if self.one:
+            return side.select("block", "k", "unit", "bits", F.lit(0).alias("cell")).where(F.lit(not above_home))
+        pivots, pivot_bits, radius, far = self.pivots, self.bits, self.radius, self.far
+
+        def run(batches):
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    _, u, b = _arrays(part)
+                    reach = np.asarray(part.column("reach"), np.float64)[:, None]
+                    may = _angles(u, pivots) <= reach + radius + SLACK
+                    if distance >= 0:
+                        may |= _distances(b, pivot_bits) <= distance + far
+                    if above_home:
+                        may &= np.arange(len(pivots)) > np.asarray(part.column("cell"))[:, None]
+                    row, cell = np.nonzero(may)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in ("block", "k", "unit", "bits")), pa.array(cell.astype(np.int32))], ["block", "k", "unit", "bits", "visit"])
+
+        reach = F.col(angle) if isinstance(angle, str) else F.lit(float(angle))
+        kind = side.schema["block"].dataType.simpleString()
+        wanted = ["block", "k", "unit", "bits"] + (["cell"] if above_home else [])
+        return side.select(*wanted, reach.alias("reach")).mapInArrow(run, f"block {kind}, k long, unit array<double>, bits long, visit int").withColumnRenamed("visit", "cell")
+
+
+ON = ["block", "cell"]
+
+
+def _chunks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    return rows.groupBy(*ON).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
 
 
-def _compared(left: DataFrame, right: DataFrame, solve, schema: str, size: int) -> DataFrame:
-    """solve(keys, units, bits of a left chunk, the same of a right chunk) for every pair of chunks of a block."""
-    counts = _chunks(left, size).withColumnRenamed("n", "nl").join(_chunks(right, size).withColumnRenamed("n", "nr"), "block")
-    own = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    names = ("block", "i", "j", "k", "unit", "bits")
-    one = left.join(counts, "block").withColumn("i", own("nl")).withColumn("j", every("nr")).select(*names)
-    other = right.join(counts, "block").withColumn("j", own("nr")).withColumn("i", every("nl")).select(*names)
+def _own(n: str) -> Column:
+    return F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+
+
+def _every(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+_TYPES = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+
+
+def _answer(key, found: list, schema: str) -> pa.Table:
+    fields = [f.split(" ") for f in schema.split(", ")]
+    columns = [pa.array(c, _TYPES[t]) for c, (_, t) in zip(found, fields, strict=True)]
+    return pa.table([pa.array([key[0].as_py()] * len(columns[0]), key[0].type), *columns], names=["block", *(n for n, _ in fields)])
+
+
+def _compared(left: DataFrame, right: DataFrame, solve: Callable, schema: str, size: int) -> DataFrame:
+    """solve(keys, units, bits of a left chunk, the same of a right chunk) for every pair of chunks of a (block, cell)."""
+    counts = _chunks(left, size, "nl").join(_chunks(right, size, "nr"), ON)
+    names = (*ON, "i", "j", "k", "unit", "bits")
+    one = left.join(counts, ON).withColumn("i", _own("nl")).withColumn("j", _every("nr")).select(*names)
+    other = right.join(counts, ON).withColumn("j", _own("nr")).withColumn("i", _every("nl")).select(*names)
 
     def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        fields = [f.split(" ")[0] for f in schema.split(", ")]
-        types = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
-        kinds = [types[f.split(" ")[1]] for f in schema.split(", ")]
-        found = solve(*_arrays(a), *_arrays(b)) if a.num_rows and b.num_rows else [[] for _ in fields]
-        columns = [pa.array(c, t) for c, t in zip(found, kinds, strict=True)]
-        return pa.table([pa.array([key[0].as_py()] * len(columns[0]), key[0].type), *columns], names=["block", *fields])
+        nothing = [[] for _ in schema.split(", ")]
+        return _answer(key, solve(*_arrays(a), *_arrays(b)) if a.num_rows and b.num_rows else nothing, schema)
+
+    kind = left.schema["block"].dataType.simpleString()
+    return one.groupBy(*ON, "i", "j").cogroup(other.groupBy(*ON, "i", "j")).applyInArrow(run, f"block {kind}, {schema}")
 
-    block_type = left.schema["block"].dataType.simpleString()
-    return one.groupBy("block", "i", "j").cogroup(other.groupBy("block", "i", "j")).applyInArrow(run, f"block {block_type}, {schema}")
 
+def _within(rows: DataFrame, solve: Callable, schema: str, size: int) -> DataFrame:
+    """solve for every pair of chunks i <= j of a (block, cell), once; with i = j each pair of rows comes both ways."""
+    counts = _chunks(rows, size, "n")
+    dealt = rows.join(counts, ON).withColumn("own", _own("n")).withColumn("other", _every("n"))
+    dealt = dealt.select(*ON, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "unit", "bits")
 
-def near_pairs(rows: DataFrame, key: str, block: str | None, cosine: float, distance: int, size: int = 2048) -> DataFrame:
+    def run(key, table):
+        own = np.asarray(table.column("own"))
+        low, high = (table.filter(pa.array(own == key[c].as_py())) for c in (2, 3))
+        return _answer(key, solve(*_arrays(low), *_arrays(high)), schema)
+
+    kind = rows.schema["block"].dataType.simpleString()
+    return dealt.groupBy(*ON, "i", "j").applyInArrow(run, f"block {kind}, {schema}")
+
+
+def near_pairs(rows: DataFrame, key: str, block: str | None, cosine: float, distance: int, size: int = 2048, pivots: int = 256) -> DataFrame:
     """Pairs a < b of one block (of all rows without one) with cosine >= `cosine` or Hamming distance <= `distance`: block, a, b, cos, ham."""
+    side = _side(rows, key, block)
+    cells = Cells(side, pivots, size)
+    schema = "a long, b long, cos double, ham int"
+    if cells.empty:
+        return side.select("block", F.col("k").alias("a"), F.col("k").alias("b"), F.lit(0.0).alias("cos"), F.lit(0).alias("ham")).limit(0)
 
     def solve(ka, ua, ba, kb, ub, bb):
         cos, ham = ua @ ub.T, np.bitwise_count(ba[:, None] ^ bb[None, :])
-        i, j = np.nonzero(((cos >= cosine) | (ham <= distance)) & (ka[:, None] < kb[None, :]))
-        return ka[i], kb[j], cos[i, j], ham[i, j].astype(np.int32)
+        i, j = np.nonzero((cos >= cosine) | (ham <= distance))
+        a, b = np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j])
+        once = ka[i] < kb[j] if np.array_equal(ka, kb) else ka[i] != kb[j]  # a chunk with itself gives each pair twice
+        return a[once], b[once], cos[i, j][once], ham[i, j][once].astype(np.int32)
 
-    return _compared(_side(rows, key, block), _side(rows, key, block), solve, "a long, b long, cos double, ham int", size)
+    inside = _within(cells.rows, solve, schema, size)
+    if cells.one:
+        return inside
+    banded = 0 <= distance and _bands(side.count(), distance, 64)[1] <= MOST_COPIES
+    visitors = cells.visits(cells.rows, math.acos(min(max(cosine, -1.0), 1.0)), -1 if banded else distance, above_home=True)
+    found = inside.unionByName(_compared(visitors, cells.rows, solve, schema, size))
+    if not banded:
+        return found
+    vector = lambda s: cells.rows.select(F.col("k").alias(s), F.col("unit").alias(f"u{s}"))
+    more = banded_pairs(side, "k", distance, block="block").join(vector("a"), "a").join(vector("b"), "b")
+    return found.unionByName(more.select("block", "a", "b", vx.dot("ua", "ub").alias("cos"), F.col("ham").cast("int").alias("ham"))).dropDuplicates(["a", "b"])
 
 
-def banded_pairs(rows: DataFrame, key: str, distance: int, bits: int = 64) -> DataFrame:
-    """All pairs a < b within a Hamming distance, exactly. Of m bands one differs in at most distance // m bits, so one side stands under its
-    own band values and the other under all values that near; m grows as bands of about log2(rows) bits fit, with at most 3 bits to flip."""
-    n = rows.count()
+def _bands(n: int, distance: int, bits: int) -> tuple[list[int], int]:
+    """Edges of the bands, and how many values of them a row is copied to."""
     m = max(2, min(distance + 1, max(-(-(distance + 1) // 4), round(bits / max(math.log2(max(n, 2)), 1)))))
     edges = [round(k * bits / m) for k in range(m + 1)]
+    return edges, sum(math.comb(e - s, r) for s, e in zip(edges, edges[1:], strict=False) for r in range(distance // m + 1))
+
+
+def banded_pairs(rows: DataFrame, key: str, distance: int, bits: int = 64, block: str | None = None) -> DataFrame:
+    """All pairs a < b (of one block) within a Hamming distance, exactly. Of m bands one differs in at most distance // m bits, so one side stands under its
+    own band values and the other under all values that near; m grows as bands of about log2(rows) bits fit, with at most 3 bits to flip."""
+    edges, _ = _bands(rows.count(), distance, bits)
+    m = len(edges) - 1
     wide = [e - s for s, e in zip(edges, edges[1:], strict=False)]
     value = lambda s, e: F.shiftrightunsigned("bits", bits - e).bitwiseAND(F.lit((1 << (e - s)) - 1))
     bands = F.array(*[F.struct(F.lit(k).alias("band"), value(edges[k], edges[k + 1]).alias("value")) for k in range(m)])
-    cut = rows.select(F.col(key).alias("id"), "bits", F.explode(bands).alias("x")).select("id", "bits", "x.band", "x.value")
+    on = [block] if block else []
+    cut = rows.select(*on, F.col(key).alias("id"), "bits", F.explode(bands).alias("x")).select(*on, "id", "bits", "x.band", "x.value")
     flips = {w: [sum(1 << p for p in some) for r in range(distance // m + 1) for some in combinations(range(w), r)] for w in set(wide)}
     masks = F.array(*[F.array(*[F.lit(f).cast("long") for f in flips[w]]) for w in wide])
     near = cut.withColumn("flip", F.explode(F.get(masks, F.col("band")))).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
     left, right = near.withColumnsRenamed({"id": "a", "bits": "ba"}), cut.withColumnsRenamed({"id": "b", "bits": "bb"})
-    pairs = left.join(right, ["band", "value"]).where("a < b").withColumn("ham", F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))))
-    return pairs.where(F.col("ham") <= distance).select("a", "b", "ham").distinct()
+    pairs = left.join(right, [*on, "band", "value"]).where("a < b").withColumn("ham", F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))))
+    return pairs.where(F.col("ham") <= distance).select(*on, "a", "b", "ham").distinct()
 
 
-def nearest(queries: DataFrame, base: DataFrame, key: str, block: str, size: int = 2048) -> DataFrame:
-    """Per query of `key`: the largest cosine to the base rows of its block, 0 where the block has none."""
+def nearest(queries: DataFrame, base: DataFrame, key: str, block: str, size: int = 2048, pivots: int = 256) -> DataFrame:
+    """Per query of `key`: the largest cosine to the base rows of its block, 0 where the block has none. Queries visit the cell that they are nearest to, then only
+    cells that may hold a nearer row than the best one found there."""
     solve = lambda ka, ua, ba, kb, ub, bb: (ka, (ua @ ub.T).max(1))
-    found = _compared(_side(queries, key, block), _side(base, key, block), solve, "k long, cos double", size).groupBy(F.col("k").alias(key)).agg(F.max("cos").alias("near_cos"))
-    return queries.select(key).join(found, key, "left").select(key, F.coalesce("near_cos", F.lit(0.0)).alias("near_cos"))
+    cells = Cells(_side(base, key, block), pivots, size)
+    asked = _side(queries, key, block)
+    if cells.empty:
+        return queries.select(key, F.lit(0.0).alias("near_cos"))
+    best = lambda visits: _compared(visits, cells.rows, solve, "k long, cos double", size).groupBy("k").agg(F.max("cos").alias("cos"))
+    finish = lambda found: queries.select(key).join(found.select(F.col("k").alias(key), "cos"), key, "left").select(key, F.coalesce("cos", F.lit(0.0)).alias("near_cos"))
+    if cells.one:
+        return finish(best(cells.visits(asked, 0.0, -1)))
+    home = cells.pivots
+
+    def to_home(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((_arrays(batch)[1] @ home.T).argmax(1).astype(np.int32))], [*batch.schema.names, "cell"])
+
+    kind = asked.schema["block"].dataType.simpleString()
+    first = stored(best(asked.mapInArrow(to_home, f"block {kind}, k long, unit array<double>, bits long, cell int")))
+    bound = asked.join(first, "k", "left").withColumn("reach", F.coalesce(F.acos(F.least(F.greatest("cos", F.lit(-1.0)), F.lit(1.0))), F.lit(math.pi))).drop("cos")
+    return finish(best(cells.visits(bound, "reach", -1)))
 
 
-def unleaked(candidates: DataFrame, protected: DataFrame, key: str, cosine: float, distance: int, size: int = 2048) -> DataFrame:
+def unleaked(candidates: DataFrame, protected: DataFrame, key: str, cosine: float, distance: int, size: int = 2048, pivots: int = 256) -> DataFrame:
     """Candidates with no protected row near them."""
 
     def solve(ka, ua, ba, kb, ub, bb):
         near = (ua @ ub.T >= cosine) | (np.bitwise_count(ba[:, None] ^ bb[None, :]) <= distance)
         return (ka[near.any(1)],)
 
-    hit = _compared(_side(candidates, key, None), _side(protected, key, None), solve, "k long", size).select(F.col("k").alias(key)).distinct()
+    cells = Cells(_side(protected, key, None), pivots, size)
+    if cells.empty:
+        return candidates
+    visitors = cells.visits(_side(candidates, key, None), math.acos(min(max(cosine, -1.0), 1.0)), distance)
+    hit = _compared(visitors, cells.rows, solve, "k long", size).select(F.col("k").alias(key)).distinct()
     return candidates.join(hit, key, "left_anti")

@@ -144,24 +144,46 @@ def pivot_splits(spark, sf_dir):
     return load(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["de", "en"]).count().na.fill(0)
 
 
-# Order-dependent scans (tested against plain loops)
+# Order-dependent scans; the SQL goes through the rows or pairs one by one in a recursion
+LINKS = PAIRS + """, g AS (SELECT a, b, a % 3 AS la, b % 3 AS lb, row_number() OVER (ORDER BY a, b) AS i FROM p WHERE cos >= 0.3 OR ham <= 20)"""
+GREEDY = f"""WITH RECURSIVE {LINKS},
+  e AS (SELECT a AS id, b AS other FROM g UNION ALL SELECT b, a FROM g),
+  x AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS i, coalesce(near, []) AS near FROM embeddings LEFT JOIN (SELECT id, list(other) AS near FROM e GROUP BY id) n ON n.id = vec_id),
+  r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS done, []::STRUCT(id BIGINT, status INT)[] AS found
+    UNION ALL SELECT x.i, CASE WHEN list_contains(done, x.id) THEN done ELSE list_concat(done, [x.id], list_filter(near, lambda y: NOT list_contains(done, y))) END,
+      CASE WHEN list_contains(done, x.id) THEN found WHEN len(list_filter(near, lambda y: NOT list_contains(done, y) AND y % 3 <> x.id % 3)) > 0
+        THEN list_concat(found, list_transform(list_concat([x.id], list_filter(near, lambda y: NOT list_contains(done, y))), lambda y: {{'id': y, 'status': 3}}))
+        ELSE list_concat(found, [{{'id': x.id, 'status': 1}}], list_transform(list_filter(near, lambda y: NOT list_contains(done, y)), lambda y: {{'id': y, 'status': 2}})) END
+    FROM r JOIN x ON x.i = r.i + 1)
+  SELECT f.id, f.status FROM (SELECT unnest(found) AS f FROM r WHERE i = (SELECT count(*) FROM embeddings))"""
+MERGED = f"""WITH RECURSIVE {LINKS},
+  r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT g.i, CASE WHEN la <> lb THEN list_concat(gone, [a, b]) WHEN list_contains(gone, a) THEN gone ELSE list_concat(gone, [b]) END FROM r JOIN g ON g.i = r.i + 1)
+  SELECT vec_id AS id, list_contains(gone, vec_id) AS dropped FROM embeddings, (SELECT gone FROM r WHERE i = (SELECT count(*) FROM g))"""
+CAPPED = f"""WITH RECURSIVE {LINKS},
+  r AS (SELECT 0::BIGINT AS i, (SELECT map_from_entries(list({{'k': vec_id, 'v': vec_id}})) FROM embeddings) AS home, []::BIGINT[] AS skips
+    UNION ALL SELECT i, CASE WHEN fits THEN map_from_entries(list_transform(map_entries(home), lambda m: {{'key': m.key, 'value': CASE WHEN m.value = ca OR m.value = cb THEN least(ca, cb) ELSE m.value END}})) ELSE home END,
+      CASE WHEN ca <> cb AND NOT fits THEN list_concat(skips, [a]) ELSE skips END
+    FROM (SELECT *, ca <> cb AND len(list_filter(map_values(home), lambda v: v = ca OR v = cb)) <= 4 AS fits FROM (SELECT g.i, a, home, skips, home[a] AS ca, home[b] AS cb FROM r JOIN g ON g.i = r.i + 1)))
+  SELECT vec_id AS id, home[vec_id] AS cluster, len(list_filter(skips, lambda s: s = vec_id))::BIGINT AS blocked FROM embeddings, (SELECT home, skips FROM r WHERE i = (SELECT count(*) FROM g))"""
+
+
 def _links(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     links = neardup.near_pairs(rows, "vec_id", "label", COS, HAM).select("a", "b")
     return rows.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).alias("label")), links
 
 
-@query()
+@query(GREEDY)
 def greedy_dedup(spark, sf_dir):
     return cluster.greedy_dedup(*_links(spark, sf_dir))
 
 
-@query()
+@query(MERGED)
 def merge_copies(spark, sf_dir):
     return cluster.merge_copies(*_links(spark, sf_dir))
 
 
-@query()
+@query(CAPPED)
 def capped_clusters(spark, sf_dir):
     return cluster.capped_clusters(*_links(spark, sf_dir), most=4)
 

@@ -151,13 +151,28 @@ def test_order_dependent_scans_equal_plain_loops(spark):
                 both = home[a] | home[b]
                 home.update(dict.fromkeys(both, both))
     rows, links = spark.createDataFrame(list(enumerate(label)), "id long, label string"), _links(spark, [*pairs, pairs[0][::-1], (5, 5), (4, 999)])
-    for gather in (1000, 45):  # at once, and after distributed rounds
+    for gather in (1000, 45, 7):  # in packed components, in rounds, in slices
         assert dict(cluster.greedy_dedup(rows, links, gather).collect()) == status
         assert {r.id for r in cluster.merge_copies(rows, links, gather).collect() if r.dropped} == gone
         assert {r.id: (r.cluster, r.blocked) for r in cluster.capped_clusters(rows, links, most, gather).collect()} == {i: (min(home[i]), blocked[i]) for i in range(n)}
     assert cluster.greedy_dedup(rows.limit(0), links).count() == 0
 
 
+def test_components_are_packed_into_tasks_and_long_chains_end(spark):
+    n = 400  # a chain in id order, far longer than the bound, beside many small components
+    pairs = [(i, i + 1) for i in range(n - 1)] + [(1000 + 3 * k, 1000 + 3 * k + j) for k in range(60) for j in (1, 2)]
+    ids = [*range(n), *range(1000, 1180)]
+    rows, links = spark.createDataFrame([(i, "x") for i in ids], "id long, label string"), _links(spark, pairs)
+    arcs = links.select("a", "b")
+    assert {r.node: r.component for r in cluster.components(arcs.repartition(5)).collect()} == {**dict.fromkeys(range(n), 0), **{i: 1000 + (i - 1000) // 3 * 3 for i in ids[n:]}}
+    small, large = cluster._packed(arcs, 50)
+    assert large.count() == n - 1 and small.select("bucket").distinct().count() > 2 and small.rdd.getNumPartitions() > 2
+    status = dict(cluster.greedy_dedup(rows, links, 50).collect())
+    assert status == {i: cluster.KEPT if (i < n and i % 2 == 0) or (i >= 1000 and (i - 1000) % 3 == 0) else cluster.DUPLICATE for i in ids}
+    found = {r.id: (r.cluster, r.blocked) for r in cluster.capped_clusters(rows, links, 64, 50).collect()}
+    assert all(found[i][0] == i // 64 * 64 for i in range(n)) and sum(b for _, b in found.values()) == (n - 1) // 64
+
+
 def test_dedup_statuses_of_a_small_pool(spark):
     e = [[1.0, 0.0], [0.0, 1.0], [0.6, 0.8], [-1.0, 0.0]]
     pool = [(0, "x", "safe", 0), (1, "x", "safe", 0), (2, "x", "low", 0), (3, "x", "low", 1), (4, "x", "high", 1), (5, "y", "low", 3), (6, "x", "high", 3)]
