@@ -13,6 +13,7 @@ from curata.functions import vectors as vx
 from curata.operators import advice, cluster, evaluate, neardup, ordered, sampling
 from curata.sources import tables
 from curata.sources.tables import load
+from curata.streaming import pace
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -224,16 +225,18 @@ def announced(spark, sf_dir):
     return marks.withColumn("spoken", spoken).where("not forget and not (spoken <=> event_type)").select("event_id")
 
 
-# A capture fires at the fifth calm frame in a row, not before the third frame of the session
-@query("""WITH d AS (SELECT event_id, user_id, value, row_number() OVER w AS k, abs(value - lag(value) OVER w) AS diff FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-  c AS (SELECT *, coalesce(diff < 60 AND value > 10, false) AS calm FROM d), i AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, calm ORDER BY event_id) AS island FROM c)
-  SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS run FROM i WHERE calm) WHERE run >= 5 AND k >= 7""")
+# A capture fires at the fifth calm frame in a row (little change, bright and rich enough), once the session has been live for a day
+@query("""WITH d AS (SELECT event_id, user_id, ts, value, (props->>'k')::INT AS spread, min(ts) OVER (PARTITION BY user_id) AS since, row_number() OVER w AS k, abs(value - lag(value) OVER w) AS diff FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  c AS (SELECT *, coalesce(diff < 60 AND value > 10 AND spread > 1, false) AS calm FROM d), i AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, calm ORDER BY event_id) AS island FROM c)
+  SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS run FROM i WHERE calm) WHERE run >= 5 AND ts > since + INTERVAL 1 DAY""")
 def auto_capture(spark, sf_dir):
-    rows = load(spark, sf_dir, "events").withColumn("k", F.row_number().over(by_user())).withColumn("diff", F.abs(F.col("value") - F.lag("value").over(by_user())))
-    rows = rows.withColumn("calm", F.coalesce((F.col("diff") < 60) & (F.col("value") > 10), F.lit(False)))
+    since = F.min("ts").over(Window.partitionBy("user_id"))
+    rows = load(spark, sf_dir, "events").withColumn("since", since).withColumn("diff", F.abs(F.col("value") - F.lag("value").over(by_user()))).withColumn("spread", F.from_json("props", "k int")["k"])
+    rows = rows.withColumn("calm", F.coalesce((F.col("diff") < 60) & (F.col("value") > 10) & (F.col("spread") > 1), F.lit(False)))
     breaks = F.sum((~F.col("calm")).cast("int")).over(by_user())
     steady = F.sum(F.col("calm").cast("int")).over(Window.partitionBy("user_id", "breaks").orderBy("event_id"))
-    return rows.withColumn("breaks", breaks).withColumn("steady", steady).where("calm and steady >= 5 and k >= 7").select("event_id")
+    live = F.col("ts") > F.col("since") + F.expr("INTERVAL 1 DAY")
+    return rows.withColumn("breaks", breaks).withColumn("steady", steady).where(F.col("calm") & (F.col("steady") >= 5) & live).select("event_id")
 
 
 # The newest request of a session stands, older ones are cancelled
@@ -243,11 +246,13 @@ def cancelled_requests(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") == newest, "current").otherwise("cancelled").alias("state"))
 
 
-# At most one scan of a session in each interval
-@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, epoch(ts)::BIGINT // 86400 ORDER BY ts, event_id) AS k FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)) WHERE k = 1")
+# After a scan of a session the next one at least a gap later
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY user_id, ts),
+  n AS (SELECT a.user_id, a.event_id, arg_min(b.event_id, b.ts) AS following FROM e a JOIN e b ON a.user_id = b.user_id AND a.ts + INTERVAL 36 HOUR <= b.ts GROUP BY a.user_id, a.event_id),
+  r AS (SELECT user_id, arg_min(event_id, ts) AS event_id FROM e GROUP BY user_id UNION ALL SELECT n.user_id, n.following FROM r JOIN n ON n.user_id = r.user_id AND n.event_id = r.event_id)
+  SELECT user_id, event_id FROM r""")
 def throttled(spark, sf_dir):
-    rows = load(spark, sf_dir, "events").withColumn("second", F.date_trunc("second", "ts")).withColumn("slot", F.floor(F.unix_timestamp("second") / 86400))
-    return evaluate.first_by(rows, ["user_id", "slot"], ["second", "event_id"]).select("event_id")
+    return pace.throttled(load(spark, sf_dir, "events"), "user_id", "ts", "event_id", 36 * 3600 * 1_000_000)
 
 
 # Progress of a transfer as states
@@ -259,16 +264,18 @@ def progress_states(spark, sf_dir):
     return rows.select("event_id", state.alias("state"), F.floor(100 * F.col("k") / F.col("n")).cast("int").alias("percent"))
 
 
-# Attempts of a send queue with their backoff, up to the first success or the fifth
-@query("""WITH a AS (SELECT event_id, user_id, event_type, value >= 90 AS ok, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS attempt FROM events),
-  f AS (SELECT user_id, event_type, min(attempt) AS won FROM a WHERE ok GROUP BY ALL)
-  SELECT event_id, attempt, 30 * (1 << (attempt - 1)) AS backoff, CASE WHEN ok THEN 'DONE' WHEN attempt = 5 THEN 'FAILED' ELSE 'PENDING' END AS state FROM a LEFT JOIN f USING (user_id, event_type) WHERE attempt <= 5 AND attempt <= coalesce(won, attempt)""")
+# A send queue: an attempt before its due time waits, a client that is done is not sent again, the fifth failure is the last
+_ATTEMPTS = ["a1 AS (SELECT client, arg_min(event_id, (at, event_id)) AS event_id, min(at) AS at, arg_min(ok, (at, event_id)) AS ok, 1 AS attempt FROM s GROUP BY client)"]
+_ATTEMPTS += [f"a{k} AS (SELECT s.client, arg_min(s.event_id, (s.at, s.event_id)) AS event_id, min(s.at) AS at, arg_min(s.ok, (s.at, s.event_id)) AS ok, {k} AS attempt FROM a{k - 1} p JOIN s USING (client) WHERE NOT p.ok AND s.at >= p.at + INTERVAL {21600 * 2 ** (k - 2)} SECOND GROUP BY s.client)" for k in range(2, 6)]
+
+
+@query(f"""WITH s AS (SELECT user_id || ':' || event_type AS client, event_id, ts AS at, value >= 90 AS ok FROM events), {", ".join(_ATTEMPTS)},
+  m AS (SELECT *, CASE WHEN ok THEN 'DONE' WHEN attempt = 5 THEN 'FAILED' ELSE 'PENDING' END AS state FROM ({" UNION ALL ".join(f"SELECT * FROM a{k}" for k in range(1, 6))})),
+  j AS (SELECT s.client, s.event_id, m.attempt, m.event_id AS made, m.state, row_number() OVER (PARTITION BY s.event_id ORDER BY m.attempt DESC) AS place FROM s JOIN m ON m.client = s.client AND (m.at, m.event_id) <= (s.at, s.event_id))
+  SELECT client, event_id, attempt, CASE WHEN made = event_id THEN state WHEN state = 'DONE' THEN 'REPEATED' WHEN state = 'FAILED' THEN 'REFUSED' ELSE 'WAITING' END AS state FROM j WHERE place = 1""")
 def queue_attempts(spark, sf_dir):
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    rows = load(spark, sf_dir, "events").withColumn("ok", F.col("value") >= 90).withColumn("attempt", F.row_number().over(w).cast("long"))
-    earlier = F.coalesce(F.max("ok").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    state = F.when(F.col("ok"), "DONE").when(F.col("attempt") == 5, "FAILED").otherwise("PENDING")
-    return rows.withColumn("earlier", earlier).where("attempt <= 5 and not earlier").select("event_id", "attempt", (30 * F.pow(F.lit(2), F.col("attempt") - 1)).cast("long").alias("backoff"), state.alias("state"))
+    sends = load(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("client"), "event_id", "ts", (F.col("value") >= 90).alias("ok"))
+    return pace.queue_states(sends, "client", "ts", "event_id", "ok", base_s=21600)
 
 
 # The newest 100 of an owner; their display goes after 90 days

@@ -72,9 +72,10 @@ SQL: dict[str, str] = {
     # File numbering
     "file_numbers": "SELECT doc_id, concat(lang, '_', lpad(CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS VARCHAR(10)), 6, '0')) AS file FROM documents",
     # Votes and mean of the last five
-    "last_five_votes": """SELECT e.event_id, count(*) AS votes, round(avg(o.p), 6) AS mean FROM (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events) e
-      JOIN (SELECT user_id, event_type, least(value / 100, 1.0) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events) o
-      ON o.user_id = e.user_id AND o.event_type = e.event_type AND o.seq BETWEEN e.seq - 4 AND e.seq GROUP BY e.event_id""",
+    "last_five_votes": """SELECT event_id, v1 + v2 + v3 + v4 + 1 AS votes, round((p + v1 * p1 + v2 * p2 + v3 * p3 + v4 * p4) / (v1 + v2 + v3 + v4 + 1), 6) AS mean FROM (SELECT event_id, p, coalesce(p1, 0) AS p1, coalesce(p2, 0) AS p2, coalesce(p3, 0) AS p3, coalesce(p4, 0) AS p4,
+      CASE WHEN t1 = t THEN 1 ELSE 0 END AS v1, CASE WHEN t2 = t THEN 1 ELSE 0 END AS v2, CASE WHEN t3 = t THEN 1 ELSE 0 END AS v3, CASE WHEN t4 = t THEN 1 ELSE 0 END AS v4 FROM (SELECT event_id, event_type AS t, least(value / 100, 1.0) AS p,
+      lag(event_type, 1) OVER w AS t1, lag(event_type, 2) OVER w AS t2, lag(event_type, 3) OVER w AS t3, lag(event_type, 4) OVER w AS t4,
+      lag(least(value / 100, 1.0), 1) OVER w AS p1, lag(least(value / 100, 1.0), 2) OVER w AS p2, lag(least(value / 100, 1.0), 3) OVER w AS p3, lag(least(value / 100, 1.0), 4) OVER w AS p4 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) x) y""",
     # Consecutive unsure rows, reset by a sure one
     "unsure_streak": """SELECT event_id, CASE WHEN low = 1 THEN row_number() OVER (PARTITION BY user_id, island, low ORDER BY event_id) ELSE 0 END AS streak FROM (
       SELECT event_id, user_id, low, sum(1 - low) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (

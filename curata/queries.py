@@ -317,12 +317,25 @@ def json_decode(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-# Vote smoothing per session (tested against the stream form and a plain loop)
-@query()
+# Vote smoothing per session; the SQL recursion takes the k-th row of every session at once
+@query("""WITH RECURSIVE e AS (SELECT user_id AS session, event_id AS seq, substr(event_type, 1, 1) || '::' || event_type AS label, least(value / 100, 1.0) AS p,
+    CASE WHEN event_id % 17 = 0 THEN 'reset' WHEN event_type = 'error' THEN 'ambiguous' ELSE '' END AS control, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  r AS (SELECT session, 0::BIGINT AS k, 0::BIGINT AS seq, []::STRUCT(label VARCHAR, p DOUBLE)[] AS recent, 0 AS streak, NULL::VARCHAR AS spoken, '' AS state, NULL::VARCHAR AS label, 0 AS votes, NULL::DOUBLE AS mean, false AS announced FROM e GROUP BY session
+    UNION ALL SELECT session, k, seq, recent,
+      CASE control WHEN 'reset' THEN streak WHEN 'ambiguous' THEN 0 ELSE CASE WHEN p < 0.28 THEN streak + 1 ELSE 0 END END,
+      CASE WHEN control = 'reset' THEN NULL WHEN control = 'ambiguous' THEN 'ask' WHEN p < 0.28 THEN CASE WHEN streak + 1 >= 3 THEN NULL ELSE spoken END WHEN votes >= 3 AND mean >= 0.5 THEN label ELSE spoken END,
+      CASE WHEN control = 'reset' THEN 'reset' WHEN control = 'ambiguous' THEN 'ask' WHEN p < 0.28 THEN CASE WHEN streak + 1 >= 2 THEN 'unsure' ELSE 'watch' END WHEN votes >= 3 AND mean >= 0.5 THEN 'sure' ELSE 'watch' END,
+      CASE WHEN control = '' THEN label END, CASE WHEN control = '' THEN votes ELSE 0 END, CASE WHEN control = '' THEN mean END,
+      CASE WHEN control = 'reset' THEN false WHEN control = 'ambiguous' THEN spoken IS DISTINCT FROM 'ask' ELSE p >= 0.28 AND votes >= 3 AND mean >= 0.5 AND spoken IS DISTINCT FROM label END
+    FROM (SELECT *, len(same)::INT AS votes, list_sum(list_transform(same, lambda x: x.p)) / len(same) AS mean
+      FROM (SELECT *, list_filter(recent, lambda x: x.label = label) AS same
+        FROM (SELECT r.session, e.k, e.seq, e.label, e.p, e.control, r.streak, r.spoken, CASE WHEN control <> '' THEN [] ELSE list_concat(r.recent, [{'label': e.label, 'p': e.p}])[-5:] END AS recent FROM r JOIN e ON e.session = r.session AND e.k = r.k + 1))))
+  SELECT session, seq, state, label, votes, round(mean, 6) AS mean, announced FROM r WHERE k > 0""")
 def vote_smoother(spark, sf_dir):
     events = load(spark, sf_dir, "events")
-    scans = events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("label"), F.least(F.col("value") / 100, F.lit(1.0)).alias("p"), F.when(F.col("event_type") == "error", "reset").otherwise("").alias("control"))
-    return votes.smooth_batch(scans, 0.28, 0.5)
+    control = F.when(F.col("event_id") % 17 == 0, "reset").when(F.col("event_type") == "error", "ambiguous").otherwise("")
+    scans = events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.substring("event_type", 1, 1).alias("crop"), F.col("event_type").alias("label"), F.least(F.col("value") / 100, F.lit(1.0)).alias("p"), control.alias("control"))
+    return votes.smooth_batch(scans, 0.28, 0.5).withColumn("mean", F.round("mean", 6))
 
 
 QUERIES.update(extended.QUERIES)

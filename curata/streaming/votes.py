@@ -1,70 +1,97 @@
-"""Vote smoothing of scan streams: five last rows, unsure streaks, announce on change.
+"""Vote smoothing of scan streams: votes keyed by crop and label, unsure streaks, ask on ambiguity, announce on change.
 
-`smooth` is the state machine over one session's rows; `smooth_batch` runs it per session over a table, `smooth_stream` over a stream with
-keyed state. Both give the same rows.
+`step` is what one row does to a session; `smooth_batch` runs it per session over a table, `smooth_stream` over a stream with keyed state: the last votes are
+a list, the streak and the last announcement are values, and all of them expire `ttl_ms` after their last change. Both give the same rows while nothing expires.
+A session's rows are taken in the order of seq, one session at a time (a session is a camera's sitting; its rows pass one task).
+
+Streams need the RocksDB state store: spark.sql.streaming.stateStore.providerClass = ROCKSDB.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COLUMNS = "session long, seq long, state string, label string, votes int, mean double, announced boolean"
-START = {"window": [], "unsure": 0, "spoken": None}
-
-
-def smooth(state: dict, rows, low: float, sure: float, keep: int = 5, need: int = 3) -> list[tuple]:
-    """rows: (session, seq, label, p, control). A control row that is not empty resets the state."""
-    out = []
-    for session, seq, label, p, control in rows:
-        if control:
-            state.update(window=[], unsure=0)
-            out.append((session, seq, "ask", None, 0, None, False))
-            continue
-        state["window"] = [*state["window"], [label, p]][-keep:]
-        same = [q for name, q in state["window"] if name == label]
-        mean, kind, speak = sum(same) / len(same), "watch", False
-        if p < low:
-            state["unsure"] += 1
-            if state["unsure"] >= 3:
-                state["spoken"] = None
-            kind = "unsure" if state["unsure"] >= 2 else "watch"
-        else:
-            state["unsure"] = 0
-            if len(same) >= need and mean >= sure:
-                kind, speak = "sure", state["spoken"] != label
-                state["spoken"] = label
-        out.append((session, seq, kind, label, len(same), mean, speak))
-    return out
+KEEP, NEED, FORGET = 5, 3, 3
+
+
+def step(recent: list, streak: int, spoken: str | None, key: str, p: float, control: str, low: float, sure: float) -> tuple[list, int, str | None, tuple]:
+    """The state after a row, and (state, label, votes, mean, announced). control: "reset" (another crop is chosen or trusted) forgets the votes and what was
+    announced, "ambiguous" asks for the crop, forgets votes and streak and counts for no vote, anything else is a scan."""
+    if control == "reset":
+        return [], streak, None, ("reset", None, 0, None, False)
+    if control == "ambiguous":
+        return [], 0, "ask", ("ask", None, 0, None, spoken != "ask")
+    recent = [*recent, (key, p)][-KEEP:]
+    same = [q for name, q in recent if name == key]
+    mean = sum(same) / len(same)
+    if p < low:
+        streak += 1
+        return recent, streak, None if streak >= FORGET else spoken, ("unsure" if streak >= 2 else "watch", key, len(same), mean, False)
+    if len(same) >= NEED and mean >= sure:
+        return recent, 0, key, ("sure", key, len(same), mean, spoken != key)
+    return recent, 0, spoken, ("watch", key, len(same), mean, False)
+
+
+def _rows(pdf: pd.DataFrame) -> list[tuple]:
+    pdf = pdf.sort_values("seq")
+    blank = lambda c: pdf[c].fillna("").tolist()
+    keys = [f"{c}::{name}" for c, name in zip(blank("crop"), blank("label"), strict=True)]
+    return list(zip(pdf["session"].tolist(), pdf["seq"].tolist(), keys, pdf["p"].astype(float).fillna(0.0).tolist(), blank("control"), strict=True))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in COLUMNS.split(", ")])
 
 
-def _tuples(pdf: pd.DataFrame) -> list[tuple]:
-    pdf = pdf.sort_values("seq")
-    return list(zip(*(pdf[c].tolist() for c in ("session", "seq", "label", "p", "control")), strict=True))
-
-
 def smooth_batch(scans: DataFrame, low: float = 0.35, sure: float = 0.55) -> DataFrame:
-    """scans: session, seq, label, p, control."""
-    return scans.groupBy("session").applyInPandas(lambda pdf: _frame(smooth(json.loads(json.dumps(START)), _tuples(pdf), low, sure)), COLUMNS)
-
-
-def smooth_stream(scans: DataFrame, low: float = 0.35, sure: float = 0.55) -> DataFrame:
-    """The same over a stream; the state is one JSON string per session and lives in the state store."""
-
-    def run(key, batches, state):
-        held = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(START))
-        rows = [r for pdf in batches for r in _tuples(pdf)]
-        found = smooth(held, sorted(rows, key=lambda r: r[1]), low, sure)
-        state.update((json.dumps(held),))
-        yield _frame(found)
-
-    return scans.groupBy("session").applyInPandasWithState(run, COLUMNS, "state string", "append", "NoTimeout")
+    """scans: session, seq, crop, label, p, control. A null label or crop is empty, a null p is 0."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        recent, streak, spoken, out = [], 0, None, []
+        for session, seq, key, p, control in _rows(pdf):
+            recent, streak, spoken, found = step(recent, streak, spoken, key, p, control, low, sure)
+            out.append((session, seq, *found))
+        return _frame(out)
+
+    return scans.groupBy("session").applyInPandas(run, COLUMNS)
+
+
+class Smoother(StatefulProcessor):
+    def __init__(self, low: float, sure: float, ttl_ms: int):
+        self.low, self.sure, self.ttl = low, sure, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", "key string, p double", self.ttl)
+        self.streak = handle.getValueState("streak", "streak int", self.ttl)
+        self.spoken = handle.getValueState("spoken", "spoken string", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        recent = [(r[0], r[1]) for r in self.recent.get()] if self.recent.exists() else []
+        streak = self.streak.get()[0] if self.streak.exists() else 0
+        spoken = self.spoken.get()[0] if self.spoken.exists() else None
+        out = []
+        for session, seq, vote, p, control in _rows(pd.concat(list(rows))):
+            recent, streak, spoken, found = step(recent, streak, spoken, vote, p, control, self.low, self.sure)
+            out.append((session, seq, *found))
+        self.recent.put(recent) if recent else self.recent.clear()
+        self.streak.update((streak,))
+        self.spoken.update((spoken,)) if spoken is not None else self.spoken.clear()
+        yield _frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def smooth_stream(scans: DataFrame, low: float = 0.35, sure: float = 0.55, ttl_ms: int = 30 * 60 * 1000) -> DataFrame:
+    """The same over a stream; a session that rests for ttl_ms starts anew."""
+    return scans.groupBy("session").transformWithStateInPandas(statefulProcessor=Smoother(low, sure, ttl_ms), outputStructType=StructType.fromDDL(COLUMNS), outputMode="append", timeMode="ProcessingTime")
 
 
 def deduplicated(sends: DataFrame, key: str = "client_id", time: str = "ts", delay: str = "1 hour") -> DataFrame:

@@ -74,19 +74,6 @@ def test_text_functions(spark):
     assert row.d == int(hashlib.md5(b"Apple___Black rot (old) copy 2.JPG").hexdigest(), 16) % 5 and row.e == "u black rot (old)"
 
 
-def test_stream_gives_the_batch_rows(spark, tmp_path):
-    steps = [0.6, 0.6, 0.2, 0.2, 0.2, 0.6, 0.6, 0.6]
-    rows = [(1, i, "leaf", p, "") for i, p in enumerate(steps)] + [(2, 0, "a", 0.9, ""), (2, 1, "a", 0.9, "reset"), (2, 2, "a", 0.9, "")]
-    schema = "session long, seq long, label string, p double, control string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = votes.smooth_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("votes_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    batch = votes.smooth_batch(spark.createDataFrame(rows, schema))
-    assert sorted(map(str, spark.table("votes_out").collect())) == sorted(map(str, batch.collect()))
-
-
 def test_sources(spark, tmp_path):
     import zipfile
 
