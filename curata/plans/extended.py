@@ -265,13 +265,13 @@ def progress_states(spark, sf_dir):
 
 
 # A send queue: an attempt before its due time waits, a client that is done is not sent again, the fifth failure is the last
-_ATTEMPTS = ["a1 AS (SELECT client, arg_min(event_id, (at, event_id)) AS event_id, min(at) AS at, arg_min(ok, (at, event_id)) AS ok, 1 AS attempt FROM s GROUP BY client)"]
-_ATTEMPTS += [f"a{k} AS (SELECT s.client, arg_min(s.event_id, (s.at, s.event_id)) AS event_id, min(s.at) AS at, arg_min(s.ok, (s.at, s.event_id)) AS ok, {k} AS attempt FROM a{k - 1} p JOIN s USING (client) WHERE NOT p.ok AND s.at >= p.at + INTERVAL {21600 * 2 ** (k - 2)} SECOND GROUP BY s.client)" for k in range(2, 6)]
+_ATTEMPTS = ["a1 AS (SELECT client, arg_min(event_id, (t, event_id)) AS event_id, min(t) AS t, arg_min(ok, (t, event_id)) AS ok, 1 AS attempt FROM s GROUP BY client)"]
+_ATTEMPTS += [f"a{k} AS (SELECT s.client, arg_min(s.event_id, (s.t, s.event_id)) AS event_id, min(s.t) AS t, arg_min(s.ok, (s.t, s.event_id)) AS ok, {k} AS attempt FROM a{k - 1} p JOIN s USING (client) WHERE NOT p.ok AND s.t >= p.t + INTERVAL {21600 * 2 ** (k - 2)} SECOND GROUP BY s.client)" for k in range(2, 6)]
 
 
-@query(f"""WITH s AS (SELECT user_id || ':' || event_type AS client, event_id, ts AS at, value >= 90 AS ok FROM events), {", ".join(_ATTEMPTS)},
+@query(f"""WITH s AS (SELECT user_id || ':' || event_type AS client, event_id, ts AS t, value >= 90 AS ok FROM events), {", ".join(_ATTEMPTS)},
   m AS (SELECT *, CASE WHEN ok THEN 'DONE' WHEN attempt = 5 THEN 'FAILED' ELSE 'PENDING' END AS state FROM ({" UNION ALL ".join(f"SELECT * FROM a{k}" for k in range(1, 6))})),
-  j AS (SELECT s.client, s.event_id, m.attempt, m.event_id AS made, m.state, row_number() OVER (PARTITION BY s.event_id ORDER BY m.attempt DESC) AS place FROM s JOIN m ON m.client = s.client AND (m.at, m.event_id) <= (s.at, s.event_id))
+  j AS (SELECT s.client, s.event_id, m.attempt, m.event_id AS made, m.state, row_number() OVER (PARTITION BY s.event_id ORDER BY m.attempt DESC) AS place FROM s JOIN m ON m.client = s.client AND (m.t, m.event_id) <= (s.t, s.event_id))
   SELECT client, event_id, attempt, CASE WHEN made = event_id THEN state WHEN state = 'DONE' THEN 'REPEATED' WHEN state = 'FAILED' THEN 'REFUSED' ELSE 'WAITING' END AS state FROM j WHERE place = 1""")
 def queue_attempts(spark, sf_dir):
     sends = load(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("client"), "event_id", "ts", (F.col("value") >= 90).alias("ok"))
