@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.functions.text import stable_bucket
+from curata.operators import ordered
+from curata.operators.scratch import stored
 
 
 def draw_order(seed: str, id_column: str):
@@ -91,3 +97,25 @@ def background_pool(rows: DataFrame, crop: str, id_column: str, n: int) -> DataF
     each = other.withColumn("_k", F.row_number().over(Window.partitionBy("_for", crop).orderBy("_key", id_column))).where(F.col("_k") <= n)
     best = each.withColumn("_k", F.row_number().over(Window.partitionBy("_for").orderBy("_key", id_column))).where(F.col("_k") <= n)
     return best.select(F.col("_for").alias(crop), id_column)
+
+
+def seeded_positions(key: str, rows: int, n: int) -> list[int]:
+    """The places that a Mersenne generator seeded with the first 12 hex digits of the key's MD5 samples from `rows` rows, in the order drawn; all of them, in order, if rows <= n."""
+    if rows <= n:
+        return list(range(rows))
+    return random.Random(int(hashlib.md5(key.encode()).hexdigest()[:12], 16)).sample(range(rows), n)
+
+
+def seeded_sample(rows: DataFrame, key: str, id_column: str, n: int) -> DataFrame:
+    """Per value of `key` the `n` rows that the seeded generator draws from them in the order of id_column, with `drawn`, the place in the draw. The generator sees only a
+    key and its number of rows; places are global row numbers, so no key is gathered. Null keys are drawn from as the empty key would be, null ids come first."""
+    named = rows.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
+    placed = stored(ordered.ranked(named, [F.col("_key"), F.col(id_column).asc_nulls_first()], "_rank"))
+    sizes = placed.groupBy("_key").agg(F.min("_rank").alias("first"), F.count(F.lit(1)).alias("size"))
+
+    def draw(batches):
+        for pdf in batches:
+            found = [(first + place, k) for name, first, size in pdf.itertuples(index=False) for k, place in enumerate(seeded_positions(name, size, n))]
+            yield pd.DataFrame(found, columns=["_rank", "drawn"], dtype="int64")
+
+    return placed.join(sizes.mapInPandas(draw, "_rank long, drawn long"), "_rank").drop("_rank", "_key")

@@ -194,6 +194,12 @@ def sample_per_key(spark, sf_dir):
     return sampling.sample_per_key(load(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], "doc_id", 50)
 
 
+# F8: the sample that a seeded Mersenne generator draws from each key (no SQL; tested against Python's random)
+@query()
+def seeded_sample(spark, sf_dir):
+    return sampling.seeded_sample(load(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 50)
+
+
 # Fair cap across sources (the shares by the closed form of water-filling)
 @query("""WITH s AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL),
   f AS (SELECT lang, source, n, row_number() OVER w AS i, count(*) OVER (PARTITION BY lang) AS m FROM s WINDOW w AS (PARTITION BY lang ORDER BY n, source)),

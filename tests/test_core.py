@@ -48,6 +48,22 @@ def test_fair_shares(spark):
     assert {r.source: r["take"] for r in sampling.fair_shares(sizes, "key", "source", 300).collect()} == {"a": 5, "b": 50, "c": 245}
 
 
+def test_seeded_sample_equals_the_generator(spark):
+    import hashlib
+    import random
+
+    sizes = {f"key {k} é": 1 + (k * 7) % 23 for k in range(1000)} | {"hot": 3000}
+    rows = spark.createDataFrame([(k, 10_000 * n + i) for n, (k, size) in enumerate(sizes.items()) for i in range(size)], "k string, id long").repartition(5)
+    got = {}
+    for r in sampling.seeded_sample(rows, "k", "id", 9).orderBy("k", "drawn").collect():
+        got.setdefault(r.k, []).append(r.id)
+    for n, (k, size) in enumerate(sizes.items()):
+        ids = [10_000 * n + i for i in range(size)]
+        assert got[k] == (ids if size <= 9 else random.Random(int(hashlib.md5(k.encode()).hexdigest()[:12], 16)).sample(ids, 9))
+    odd = spark.createDataFrame([(None, 1), ("", None), ("x", 2)], "k string, id long")
+    assert sampling.seeded_sample(odd, "k", "id", 1).count() == 2 and sampling.seeded_sample(odd.limit(0), "k", "id", 1).count() == 0
+
+
 def test_group_split_keeps_groups_and_breaks_ties_low(spark):
     rows = spark.createDataFrame([("g", "val"), ("g", "train"), ("g", None), ("h", None)], "g string, official string")
     found = sampling.group_split(rows, "g", "official").collect()
