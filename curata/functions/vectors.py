@@ -15,7 +15,8 @@ def dot(a, b) -> Column:
 def unit(a) -> Column:
     """L2-normalised, as doubles; a zero vector gives nulls."""
     size = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: x.cast("double") / F.nullif(size, F.lit(0.0)))
+    # bound once a row: inside the lambda over components it would be computed for each of them
+    return F.get(F.transform(F.array(size), lambda s: F.transform(a, lambda x: x.cast("double") / F.nullif(s, F.lit(0.0)))), F.lit(0))
 
 
 def sign_bits(a, n: int = 64) -> Column:
