@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -17,5 +17,5 @@ def _folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, so that later rounds start from files that outlive lost executors."""
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(_folder(df.sparkSession))
+        df.sparkSession.sparkContext.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curata.functions import text as tx
 from curata.functions import vectors as vx
 from curata.operators import cluster, decide, evaluate, neardup, sampling
-from curata.plans import extended, portable
+from curata.plans import extended, persisted, portable
 from curata.sources.tables import TABLES, load, register
 from curata.streaming import votes
 
@@ -344,5 +344,5 @@ def vote_smoother(spark, sf_dir):
     return votes.smooth_batch(scans, 0.28, 0.5).withColumn("mean", F.round("mean", 6))
 
 
-QUERIES.update(extended.QUERIES)
-ORACLE_SQL.update(extended.ORACLE_SQL)
+QUERIES.update(extended.QUERIES | persisted.QUERIES)
+ORACLE_SQL.update(extended.ORACLE_SQL | persisted.ORACLE_SQL)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curata.sources import archives
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: File name endings of photos.
 IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
@@ -37,19 +36,8 @@ def image_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """Photos inside zip archives: one row per member; an archive is opened by one task and its members stream out."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for at, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.lower().endswith(IMAGE_ENDINGS):
-                            yield pd.DataFrame({"zip": [at], "member": [name], "payload": [z.read(name)]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "zip string, member string, payload binary")
+    """Photos inside the zip archives below path: one row per member. Other members are not read."""
+    return archives.read_zips(spark, path, F.lower("member").rlike("(" + "|".join(IMAGE_ENDINGS).replace(".", r"\.") + ")$")).select(F.col("archive").alias("zip"), "member", "payload")
 
 
 def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
@@ -156,20 +144,3 @@ def file_cursor(spark: SparkSession, path: str) -> DataFrame:
     if not path_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path_):
         return spark.createDataFrame([], "display_name string, size long")
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("display_name"), F.col("length").alias("size"))
-
-
-def zip_archives(files: DataFrame, by: str, most_bytes: int = 64 << 20) -> DataFrame:
-    """files (by, file, payload): uncompressed zips of about `most_bytes`, several for a large role: by, part, archive. Files are dealt to parts by a hash of their name."""
-    sizes = files.groupBy(by).agg(F.greatest(F.ceil(F.sum(F.length("payload")) / F.lit(most_bytes)), F.lit(1)).cast("int").alias("_parts"))
-    dealt = files.join(sizes, by).withColumn("part", F.pmod(F.xxhash64("file"), F.col("_parts")).cast("int")).select(by, "part", "file", "payload")
-
-    def pack(pdf):
-        import pandas as pd
-
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED) as z:
-            for name, payload in sorted(zip(pdf["file"], pdf["payload"], strict=True)):
-                z.writestr(zipfile.ZipInfo(name), payload)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "part": [pdf["part"].iloc[0]], "archive": [held.getvalue()]})
-
-    return dealt.groupBy(by, "part").applyInPandas(pack, f"`{by}` {files.schema[by].dataType.simpleString()}, part int, archive binary")

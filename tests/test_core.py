@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from curata.functions import text as tx
 from curata.operators import cluster, evaluate, sampling
 from curata.queries import ORACLE_SQL, QUERIES
-from curata.sources import tables
+from curata.sources import archives, tables
 from curata.streaming import votes
 
 SF = "/root/testdata/sf0.001"
@@ -199,7 +199,6 @@ def test_banded_pairs_equal_all_pairs(spark):
 
 
 def test_files_in_and_out(spark, tmp_path):
-    import io
     import zipfile
 
     from pyspark.sql import types as T
@@ -214,7 +213,8 @@ def test_files_in_and_out(spark, tmp_path):
     assert [tables.choose_config(x) for x in (["b_augmented", "default", "raw"], ["x_augmented", "default"], ["augmented", "y"], [])] == ["raw", "default", "y", None]
     assert [tuple(r) for r in tables.file_cursor(spark, str(base / "one/train/rust/a.jpg")).collect()] == [("a.jpg", 1)] and tables.file_cursor(spark, str(base / "none")).count() == 0
     files = spark.createDataFrame([("en", "b.jpg", b"22"), ("en", "a.jpg", b"1"), ("de", "c.jpg", b"3")], "role string, file string, payload binary")
-    got = {(r.role, name): z.read(name) for r in tables.zip_archives(files, "role").collect() for z in [zipfile.ZipFile(io.BytesIO(r.archive))] for name in z.namelist()}
+    archives.write_zips(files, str(tmp_path / "zips"), "role")
+    got = {(p.name.split("-")[1], name): z.read(name) for p in (tmp_path / "zips").iterdir() for z in [zipfile.ZipFile(p)] for name in z.namelist()}
     assert got == {("en", "a.jpg"): b"1", ("en", "b.jpg"): b"22", ("de", "c.jpg"): b"3"}
     rows = spark.createDataFrame([("x", "NA"), ("", None)], "a string, b string")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in "ab"])
