@@ -1,7 +1,7 @@
 """Transliteration by tables of code point sequences: at each place the longest entry is replaced, what no entry begins is kept.
 
-All is column expressions. A table of single code points is one `translate`. Otherwise the entries found are set apart by one pass of a regular expression whose alternatives stand longest first,
-then looked up; both passes are linear in the text (collecting the matches of a pattern is not). Tables for the Indic scripts come from a rule: their Unicode blocks keep the same letters at the same places.
+All is column expressions. Single code points that become one or none go by `translate`. Longer entries are set apart by one pass of a regular expression whose alternatives stand longest first,
+then looked up; the passes are linear in the text (collecting the matches of a pattern is not). Tables for the Indic scripts come from a rule: their Unicode blocks keep the same letters at the same places.
 
 Defined results: null stays null, the empty text empty; an empty table changes nothing; texts may hold any code point, the separator too.
 """
@@ -13,26 +13,29 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MARK, _ENTRY, _SELF = "\x01", "\x01e", "\x01s"
+_MARK = "\x01"
 
 
 def transliterate(text: Column, table: dict[str, str]) -> Column:
     if "" in table or any(_MARK in k for k in table):
         raise ValueError("entries are not empty and do not hold U+0001")
-    if not table:
-        return text
-    singles = {k: v for k, v in table.items() if len(k) == 1}
-    if len(singles) == len(table) and all(len(v) == 1 for v in table.values()):
-        return F.translate(text, "".join(table), "".join(table.values()))
-    entries = sorted(table, key=lambda k: (-len(k), k))
-    found = "(?<!\\x01)(" + "|".join("".join(f"\\x{{{ord(c):x}}}" for c in k) for k in entries) + ")"
-    apart = F.split(F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(_SELF)), found, f"{_ENTRY}$1{_ENTRY}"), _ENTRY)
+    singles = {k: v for k, v in table.items() if len(k) == 1 and len(v) <= 1}
+    letters = sorted(singles, key=lambda k: not singles[k])  # `translate` drops those at the end that have no counterpart
+    one_by_one = lambda c: F.translate(c, "".join(letters), "".join(singles[k] for k in letters)) if letters else c
+    entries = sorted(table.keys() - singles.keys(), key=lambda k: (-len(k), k))
+    if not entries:
+        return one_by_one(text)
+    used = set("".join(table))
+    at, itself = [_MARK + chr(n) for n in range(2, len(used) + 4) if chr(n) not in used][:2]  # set an entry apart; stand for the mark in the text. No entry holds them
+    # what is no entry here takes one code point, as singles do, so the places of longer entries do not depend on singles
+    found = "(" + "|".join("".join(f"\\x{{{ord(c):x}}}" for c in k) for k in entries) + ")"
+    apart = F.split(F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(itself)), found, f"{at}$1{at}"), at)
     by_first: dict[str, dict[str, str]] = {}  # a lookup scans a map, so entries are grouped by their first code point
     for k in entries:
         by_first.setdefault(k[0], {})[k] = table[k]
     groups = F.create_map(*[F.lit(x) if isinstance(x, str) else x for c, m in by_first.items() for x in (c, F.create_map(*[F.lit(y) for pair in m.items() for y in pair]))])
-    said = F.transform(apart, lambda part, i: F.when(i % 2 == 1, F.element_at(F.element_at(groups, F.substring(part, 1, 1)), part)).otherwise(part))
-    return F.replace(F.array_join(said, ""), F.lit(_SELF), F.lit(_MARK))
+    said = F.transform(apart, lambda part, i: F.when(i % 2 == 1, F.element_at(F.element_at(groups, F.substring(part, 1, 1)), part)).otherwise(one_by_one(part)))
+    return F.replace(F.array_join(said, ""), F.lit(itself), F.lit(_MARK))
 
 
 #: The scripts of the spoken languages and where their Unicode blocks begin.

@@ -17,7 +17,8 @@ def _same(spark, texts, table):
 def test_longest_entry_first(spark):
     _same(spark, [None, "", "schsch", "scsh", "äa.a", "😀😀x", "$1$", "a\\b", "\x01e\x01s\x01", "sch" * 50_000, "\n\r x"], TABLE)
     _same(spark, [None, "", "schä"], {})
-    _same(spark, ["abcab"], {"a": "x", "b": "y"})
+    _same(spark, ["abcab"], {"a": "", "b": "y"})
+    _same(spark, ["a\x02\x01\x02b\x03\x01"], {"\x02": "two", "a\x02": "x", "b": "\x01"})
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
