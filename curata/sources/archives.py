@@ -177,10 +177,10 @@ class ZipSink(DataSource):
         return ZipWriter(self.options["path"], overwrite)
 
 
-def write_zips(files: DataFrame, path: str, by: str, file: str = "file", payload: str = "payload", most_bytes: int = SPLIT_BYTES, overwrite: bool = False) -> None:
-    """Uncompressed archives of about `most_bytes` below path, one or more per value of `by`; a large role is dealt to several by a hash of the names. An existing path is an error unless overwrite."""
+def write_zips(files: DataFrame, path: str, by: str, file: str = "file", payload: str = "payload", most_bytes: int = SPLIT_BYTES, most_members: int = 50_000, overwrite: bool = False) -> None:
+    """Uncompressed archives of about `most_bytes` and `most_members` below path, one or more per value of `by`; a large role is dealt to several by a hash of the names. An existing path is an error unless overwrite."""
     rows = files.select(F.col(by).cast("string").alias("role"), F.col(file).alias("file"), F.col(payload).alias("payload"))
-    parts = rows.groupBy("role").agg(F.greatest(F.ceil(F.sum(F.length("payload")) / F.lit(most_bytes)), F.lit(1)).cast("long").alias("_parts")).withColumnRenamed("role", "_role")
+    parts = rows.groupBy("role").agg(F.greatest(F.ceil(F.sum(F.length("payload")) / F.lit(most_bytes)), F.ceil(F.count(F.lit(1)) / F.lit(most_members)), F.lit(1)).cast("long").alias("_parts")).withColumnRenamed("role", "_role")
     dealt = rows.join(parts, F.col("role").eqNullSafe(F.col("_role"))).select("role", F.pmod(F.xxhash64("file", F.length("payload")), F.coalesce("_parts", F.lit(1))).alias("part"), "file", "payload")
     files.sparkSession.dataSource.register(ZipSink)
     dealt.repartition("role", "part").sortWithinPartitions("role", "part", "file").write.format("zip_sink").mode("overwrite" if overwrite else "append").option("path", path).save()

@@ -55,5 +55,8 @@ def test_sink_round_trip_and_commit(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["out"] and sorted(p.name for p in pathlib.Path(at).iterdir()) == before
     archives.write_zips(files.where("role = 'c'"), at, "role", overwrite=True)
     assert archives.zip_index(spark, at).count() == 3
+    empty = files.where("role = 'a/b'").withColumn("payload", F.lit(None).cast("binary"))
+    archives.write_zips(empty, at + "4", "role", most_members=50)
+    assert len(list(pathlib.Path(at + "4").iterdir())) > 2 and archives.zip_index(spark, at + "4").count() == 200
     archives.write_zips(files.limit(0), at + "3", "role")
     assert archives.read_zips(spark, at + "3").count() == 0
