@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from curata.functions import text as tx
 from curata.functions import vectors as vx
 from curata.operators import advice, cluster, evaluate, neardup, ordered, sampling
+from curata.plans import portable
 from curata.sources import tables
 from curata.sources.tables import load
 from curata.streaming import pace
@@ -309,6 +310,22 @@ def shared_clips(spark, sf_dir):
     return rows.join(ordered.ranked(rows.select("text").distinct(), ["text"], "clip"), "text").select("doc_id", "clip")
 
 
+def totals_in_order(events: DataFrame) -> DataFrame:
+    """Per user and event type: total, whole (of the user) and place. Doubles add up to other last digits in another order of rows, so equal totals would be placed by chance;
+    values are added as decimals, and as doubles only in groups that hold a value that is no decimal(38, 18)."""
+    exact = F.try_sum(F.col("value").try_cast("decimal(38,18)"))
+    whole = F.count("value") == F.count(F.col("value").try_cast("decimal(38,18)"))
+    totals = events.groupBy("user_id", "event_type").agg(F.coalesce(F.when(whole, exact).cast("double"), F.sum("value")).alias("total"))
+    user = Window.partitionBy("user_id")
+    return totals.withColumn("whole", F.sum("total").over(user)).withColumn("place", F.row_number().over(user.orderBy(F.desc("total"), "event_type")))
+
+
+# K1 K3: top three of each
+@query(portable.SQL["top_three"])
+def top_three(spark, sf_dir):
+    return totals_in_order(load(spark, sf_dir, "events")).where("place <= 3").select("user_id", "event_type", "place")
+
+
 # K6: names in a collation that ignores case, a fixed one first
 @query("SELECT c_mktsegment AS name, row_number() OVER (ORDER BY CASE WHEN c_mktsegment = 'MACHINERY' THEN 0 ELSE 1 END, lower(c_mktsegment)) AS place FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def collated_names(spark, sf_dir):

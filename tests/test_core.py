@@ -244,3 +244,13 @@ def test_stream_drops_repeated_sends(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.client_id for r in spark.table("sends_out").collect()) == ["k", "m"]
+
+
+def test_equal_totals_go_by_name_in_any_order_of_rows(spark):
+    from curata.plans import extended
+
+    # 0.1 + 0.2 + 0.3 and 0.6 are equal totals; as doubles 0.1 + 0.2 is more than 0.3 and 0.6 is less than 0.1 + 0.2 + 0.3
+    values = [(1, "a", 0.6), (1, "b", 0.1), (1, "b", 0.2), (1, "b", 0.3), (2, "a", float("inf")), (2, "b", 1e30), (2, "c", None), (2, "d", 2.5)]
+    for rows in (values, values[::-1]):
+        got = extended.totals_in_order(spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1)).collect()
+        assert {(r.user_id, r.event_type): r.place for r in got} == {(1, "a"): 1, (1, "b"): 2, (2, "a"): 1, (2, "b"): 2, (2, "d"): 3, (2, "c"): 4}
