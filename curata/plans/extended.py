@@ -326,6 +326,12 @@ def top_three(spark, sf_dir):
     return totals_in_order(load(spark, sf_dir, "events")).where("place <= 3").select("user_id", "event_type", "place")
 
 
+# K4: two always, a third only with a share of 0.05
+@query(portable.SQL["crop_buttons"])
+def crop_buttons(spark, sf_dir):
+    return totals_in_order(load(spark, sf_dir, "events")).where("place <= 2 or (place = 3 and (whole = 0 and total >= 0 or whole <> 0 and total / whole >= 0.05))").select("user_id", "event_type")
+
+
 # K6: names in a collation that ignores case, a fixed one first
 @query("SELECT c_mktsegment AS name, row_number() OVER (ORDER BY CASE WHEN c_mktsegment = 'MACHINERY' THEN 0 ELSE 1 END, lower(c_mktsegment)) AS place FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def collated_names(spark, sf_dir):
