@@ -66,3 +66,19 @@ def test_nearest_and_unleaked_equal_all_pairs(spark):
         assert left == {int(i) for i in np.flatnonzero(~test) if not ((cos[i, test] >= 0.98) | (ham[i, test] <= 1)).any()}
     none = rows.limit(0)
     assert neardup.near_pairs(none, "id", "kind", 0.9, 3).count() == 0 and neardup.nearest(none, none, "id", "kind").count() == 0 and neardup.unleaked(rows, none, "id", 0.9, 3).count() == rows.count()
+
+
+@pytest.mark.parametrize("spread", [0.05, 5.0])
+def test_copies_of_a_row_do_not_grow_with_the_rows(spark, spread):
+    x, bits, kind = _clustered(2000, 32, 60, spread)
+    rows = _rows(spark, x, bits, kind).where("id < 9000")
+    for n in (1000, 2000):
+        cells = neardup.Cells(neardup._side(rows.where(f"id < {n}"), "id", None), 256, 10)
+        for angle in (0.2, 3.0):
+            copies = neardup._copies(cells.dealt()[0].withColumn("reach", neardup.F.lit(angle)), cells.meets(-1))
+            most = copies.groupBy("k").count().agg({"count": "max"}).first()[0]
+            assert most <= neardup.CHUNKS + 1 and copies.where("chunk = own").count() == n
+            assert spread > 1 or angle > 1 or copies.count() < 4 * n
+    cos = x @ x.T
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(cos >= 0.5), strict=True) if i < j}
+    assert {(r.a, r.b) for r in neardup.near_pairs(rows, "id", None, 0.5, -1, size=10).collect()} == want and want
