@@ -250,8 +250,22 @@ def _bands(n: int, distance: int, bits: int) -> tuple[list[int], int]:
 
 def banded_pairs(rows: DataFrame, key: str, distance: int, bits: int = 64, block: str | None = None) -> DataFrame:
     """All pairs a < b (of one block) within a Hamming distance, exactly. Of m bands one differs in at most distance // m bits, so one side stands under its
-    own band values and the other under all values that near; m grows as bands of about log2(rows) bits fit, with at most 3 bits to flip."""
-    edges, _ = _bands(rows.count(), distance, bits)
+    own band values and the other under all values that near; m grows as bands of about log2(rows) bits fit, with at most 3 bits to flip. Where that takes more than
+    MOST_COPIES copies of a row, all pairs of chunks are compared instead, 8 bytes a row."""
+    edges, copies = _bands(rows.count(), distance, bits)
+    if copies > MOST_COPIES:
+        side = rows.select((F.col(block) if block else F.lit(0)).alias("block"), F.col(key).cast("long").alias("k"), F.array(F.lit(0.0)).alias("unit"), F.col("bits").alias("bits"))
+        cells = Cells(side.where("block is not null and k is not null and bits is not null"), 0, TILE)
+
+        def solve(ka, ua, ba, kb, ub, bb, same):
+            ham = np.bitwise_count(ba[:, None] ^ bb[None, :])
+            i, j = np.nonzero(ham <= distance)
+            once = _once(ka, kb, i, j, same)
+            i, j = i[once], j[once]
+            return np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j]), ham[i, j].astype(np.int32)
+
+        found = _within(cells, 0.0, distance, solve, "a long, b long, ham int")
+        return found.select(*([F.col("block").alias(block)] if block else []), "a", "b", "ham")
     m = len(edges) - 1
     wide = [e - s for s, e in zip(edges, edges[1:], strict=False)]
     value = lambda s, e: F.shiftrightunsigned("bits", bits - e).bitwiseAND(F.lit((1 << (e - s)) - 1))
@@ -262,7 +276,8 @@ def banded_pairs(rows: DataFrame, key: str, distance: int, bits: int = 64, block
     masks = F.array(*[F.array(*[F.lit(f).cast("long") for f in flips[w]]) for w in wide])
     near = cut.withColumn("flip", F.explode(F.get(masks, F.col("band")))).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
     left, right = near.withColumnsRenamed({"id": "a", "bits": "ba"}), cut.withColumnsRenamed({"id": "b", "bits": "bb"})
-    pairs = left.join(right, [*on, "band", "value"]).where("a < b").withColumn("ham", F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))))
+    # neither side is small: the optimiser does not see what explode adds and would broadcast the copies
+    pairs = left.join(right.hint("merge"), [*on, "band", "value"]).where("a < b").withColumn("ham", F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))))
     return pairs.where(F.col("ham") <= distance).select(*on, "a", "b", "ham").distinct()
 
 

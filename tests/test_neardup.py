@@ -82,3 +82,17 @@ def test_copies_of_a_row_do_not_grow_with_the_rows(spark, spread):
     cos = x @ x.T
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(cos >= 0.5), strict=True) if i < j}
     assert {(r.a, r.b) for r in neardup.near_pairs(rows, "id", None, 0.5, -1, size=10).collect()} == want and want
+
+
+def test_hamming_pairs_of_large_distances_without_copies_of_bands(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 64)
+    x, bits, kind = _clustered(600, 64, 40, 0.3)
+    rows = _rows(spark, x, bits, kind).where("id < 9000").union(_rows(spark, x[:1], bits[:1], kind[:1]).where("id < 9000").selectExpr("id + 1000", "kind", "unit", "bits"))
+    assert neardup._bands(601, 15, 64)[1] > neardup.MOST_COPIES
+    ids, bits = [*range(600), 1000], np.append(bits, bits[0]).view(np.uint64)
+    ham = np.bitwise_count(bits[:, None] ^ bits[None, :])
+    found = neardup.banded_pairs(rows.select("id", "bits"), "id", 15)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    want = {(ids[i], ids[j]): ham[i, j] for i, j in zip(*np.nonzero(ham <= 15), strict=True) if i < j}
+    got = found.collect()
+    assert {(r.a, r.b): r.ham for r in got} == want and len(got) == len(want) > 600
