@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 from curata.operators.scratch import stored
 
 
-def running(rows: DataFrame, order: list, amount, name: str) -> DataFrame:
-    """Adds `name`: the sum of `amount` over all rows up to this one, in order."""
-    cut = stored(rows.withColumn("_amount", amount).orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+#: Characters by which long texts are cut into ranges; texts that begin with the same ones are sorted by one task.
+BEGINNING = 256
+
+
+def _sorted(rows: DataFrame, order: list, long: str | None) -> DataFrame:
+    """rows in global order. Sorting draws a sample of the order's keys to the driver, whole; by a `long` text that is first in the order it draws beginnings only. A text's
+    beginning is never after that of a larger text, and equal ones fall in one range."""
+    if long is None:
+        return rows.orderBy(*order)
+    return rows.withColumn("_range", F.substring(long, 1, BEGINNING)).repartitionByRange("_range").sortWithinPartitions(*order).drop("_range")
+
+
+def running(rows: DataFrame, order: list, amount, name: str, long: str | None = None) -> DataFrame:
+    """Adds `name`: the sum of `amount` over all rows up to this one, in order. long: the first column of the order, if it holds long texts."""
+    cut = stored(_sorted(rows.withColumn("_amount", amount), order, long).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     parts = cut.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
@@ -20,9 +32,9 @@ def running(rows: DataFrame, order: list, amount, name: str) -> DataFrame:
     return found.withColumn(name, F.col("_offset") + F.col("_upto")).drop("_amount", "_part", "_at", "_upto", "_offset")
 
 
-def ranked(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
-    """Adds `name`: the row's number in the order, from 1."""
-    return running(rows, order, F.lit(1).cast("long"), name)
+def ranked(rows: DataFrame, order: list, name: str = "place", long: str | None = None) -> DataFrame:
+    """Adds `name`: the row's number in the order, from 1. long: as in running."""
+    return running(rows, order, F.lit(1).cast("long"), name, long)
 
 
 def drawn(rows: DataFrame, id_column: str, weight: str, draws: int, seed: str = "draw", buckets: int = 4096) -> DataFrame:

@@ -307,7 +307,7 @@ def random_cut(spark, sf_dir):
 @query("SELECT doc_id, dense_rank() OVER (ORDER BY text) AS clip FROM documents WHERE lang = 'es'")
 def shared_clips(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", "text")
-    return rows.join(ordered.ranked(rows.select("text").distinct(), ["text"], "clip"), "text").select("doc_id", "clip")
+    return rows.join(ordered.ranked(rows.select("text").distinct(), ["text"], "clip", long="text"), "text").select("doc_id", "clip")
 
 
 def totals_in_order(events: DataFrame) -> DataFrame:

@@ -254,3 +254,14 @@ def test_equal_totals_go_by_name_in_any_order_of_rows(spark):
     for rows in (values, values[::-1]):
         got = extended.totals_in_order(spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1)).collect()
         assert {(r.user_id, r.event_type): r.place for r in got} == {(1, "a"): 1, (1, "b"): 2, (2, "a"): 1, (2, "b"): 2, (2, "d"): 3, (2, "c"): 4}
+
+
+def test_long_texts_are_ranked_without_whole_texts_at_the_driver(spark):
+    from curata.operators import ordered
+
+    texts = ["a" * k for k in (0, 1, 255, 256, 257, 300)] + ["a" * 256 + c for c in "\n z\u00e9\U0001f600\uffff"] + [c * 3 for c in "Bb\u00e9\U0001f600\uffff"] + [f"{k % 7}{'x' * 400}{k}" for k in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    got = {r.text: r.place for r in ordered.ranked(rows, ["text"], long="text").collect()}
+    assert got == {t: i for i, t in enumerate(sorted(texts, key=lambda t: t.encode()), 1)}
+    plan = ordered._sorted(rows, ["text"], "text")._jdf.queryExecution().toString()
+    assert "rangepartitioning(_range" in plan and "rangepartitioning(text" not in plan
