@@ -21,9 +21,15 @@ from curata.operators.scratch import stored
 KEPT, DUPLICATE, CONFLICT = 1, 2, 3
 
 
+def _pairs(links: DataFrame) -> DataFrame:
+    """Distinct links from the smaller to the larger id: a, b. Dealt by a, so that they are shuffled once for this and for the join on a that follows."""
+    pairs = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
+    return pairs.where("a < b").repartition("a").dropDuplicates(["a", "b"])
+
+
 def _arcs(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Distinct links from the smaller to the larger id, with both labels: a, b, la, lb."""
-    pairs = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b").distinct()
+    pairs = _pairs(links)
     label = lambda s: rows.select(F.col("id").cast("long").alias(s), F.col("label").alias(f"l{s}"))
     return pairs.join(label("a"), "a").join(label("b"), "b")
 
@@ -85,9 +91,9 @@ def _scan(table):
 
 
 def beaten(arcs: DataFrame, gather: int = 200_000) -> DataFrame:
-    """arcs (a, b), a < b. The nodes that some unbeaten smaller node has an arc to, as `node`: every node in id order beats
+    """arcs (a, b), a < b, distinct and stored. The nodes that some unbeaten smaller node has an arc to, as `node`: every node in id order beats
     its larger neighbours unless it is beaten itself."""
-    arcs = stored(arcs.select("a", "b").distinct())
+    arcs = arcs.select("a", "b")
     if arcs.isEmpty():
         return arcs.select(F.col("b").alias("node"))
     small, arcs = _packed(arcs, gather)
@@ -138,7 +144,7 @@ def merge_copies(rows: DataFrame, links: DataFrame, gather: int = 200_000) -> Da
     dead = arcs.where("differs").select(F.col("b").alias("node")).distinct()
     live = arcs.where("not differs").join(until, "a", "left").where("until is null or b < until").select("a", "b")
     live = live.join(dead.select(F.col("node").alias("a")), "a", "left_anti").join(dead.select(F.col("node").alias("b")), "b", "left_anti")
-    gone = beaten(live, gather).union(dead).union(arcs.where("differs").select("a")).distinct().select(F.col("node").alias("id"), F.lit(True).alias("dropped"))
+    gone = beaten(stored(live), gather).union(dead).union(arcs.where("differs").select("a")).distinct().select(F.col("node").alias("id"), F.lit(True).alias("dropped"))
     return rows.select(F.col("id").cast("long").alias("id")).join(gone, "id", "left").select("id", F.coalesce("dropped", F.lit(False)).alias("dropped"))
 
 
@@ -188,7 +194,7 @@ _MOVES = "was long, now long, size long, skip long"
 def capped_clusters(rows: DataFrame, links: DataFrame, most: int = 64, gather: int = 200_000) -> DataFrame:
     """Pairs in order join their clusters; a union that would pass `most` members is skipped and counted. rows: id, label (not read). Returns id, cluster
     (its smallest id), blocked (skipped unions whose first row it is)."""
-    pairs = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b").distinct()
+    pairs = _pairs(links)
     ids = rows.select(F.col("id").cast("long").alias("id"))
     pairs = pairs.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
     pairs = stored(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"), F.lit(1).cast("long").alias("sa"), F.lit(1).cast("long").alias("sb")))

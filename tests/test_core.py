@@ -265,3 +265,12 @@ def test_long_texts_are_ranked_without_whole_texts_at_the_driver(spark):
     assert got == {t: i for i, t in enumerate(sorted(texts, key=lambda t: t.encode()), 1)}
     plan = ordered._sorted(rows, ["text"], "text")._jdf.queryExecution().toString()
     assert "rangepartitioning(_range" in plan and "rangepartitioning(text" not in plan
+
+
+def test_links_are_shuffled_once_to_be_distinct_and_joined(spark):
+    links = _links(spark, [(1, 2), (2, 1), (2, 3), (3, 3), (None, 1)])
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id long, label string")
+    found = cluster._arcs(rows, links)
+    assert {tuple(r) for r in found.select("a", "b", "la", "lb").collect()} == {(1, 2, "x", "y"), (2, 3, "y", None)}
+    distinct = cluster._pairs(links).join(rows.withColumnRenamed("id", "a").hint("merge"), "a")
+    assert distinct._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(a#") == 2
