@@ -6,7 +6,8 @@ all rows whose predecessors are settled; where a round settles fewer than a tent
 each. So a component of n links ends after at most 22 * ln(n / gather) rounds and n / gather slices, and no task holds more than `gather` links of it.
 
 Defined results: rows without links are kept, undropped and clusters of their own; repeated links, links of a row with itself, links with a null end and
-links to unknown ids do not count; null labels are equal to each other; ids must be unique; empty tables give empty results.
+links to unknown ids do not count; null labels are equal to each other; ids must be unique; empty tables give empty results. These take any links; where links are
+those of near rows, `scans` gives the same without listing them.
 """
 
 from __future__ import annotations
@@ -16,10 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.operators import neardup, ordered
+from curata.operators.scans import CONFLICT, DUPLICATE, KEPT, Sets
 from curata.operators.scratch import stored
 
-KEPT, DUPLICATE, CONFLICT = 1, 2, 3
-
 
 def _pairs(links: DataFrame) -> DataFrame:
     """Distinct links from the smaller to the larger id: a, b. Dealt by a, so that they are shuffled once for this and for the join on a that follows."""
@@ -148,29 +148,11 @@ def merge_copies(rows: DataFrame, links: DataFrame, gather: int = 200_000) -> Da
     return rows.select(F.col("id").cast("long").alias("id")).join(gone, "id", "left").select("id", F.coalesce("dropped", F.lit(False)).alias("dropped"))
 
 
-class _Sets:
-    """Disjoint sets as lists of members; the shorter list moves."""
-
-    def __init__(self):
-        self.home: dict[int, list] = {}
-
-    def of(self, x: int, size: int) -> list:
-        """[size, members...] of x's set."""
-        return self.home.setdefault(x, [size, x])
-
-    def join(self, one: list, other: list) -> None:
-        one, other = (other, one) if len(other) > len(one) else (one, other)
-        one[0] += other[0]
-        one.extend(other[1:])
-        for x in other[1:]:
-            self.home[x] = one
-
-
 def _joined(most: int):
     """Pairs in order join their clusters (ca of sa members, cb of sb), none beyond `most`: the clusters that moved with their new size, and the first rows of skipped pairs."""
 
     def run(table):
-        sets, skips = _Sets(), []
+        sets, skips = Sets(), []
         for a, _, ca, cb, sa, sb in sorted(zip(*(table.column(c).to_pylist() for c in ("a", "b", "ca", "cb", "sa", "sb")), strict=True)):
             one, other = sets.of(ca, sa), sets.of(cb, sb)
             if one is other:
