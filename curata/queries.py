@@ -184,7 +184,7 @@ def greedy_dedup(spark, sf_dir):
 
 @query(MERGED)
 def merge_copies(spark, sf_dir):
-    return cluster.merge_copies(*_links(spark, sf_dir))
+    return scans.merge_copies(_near(spark, sf_dir), "id", "block", "label", COS, HAM)
 
 
 @query(CAPPED)
