@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import text as tx
 from curata.functions import vectors as vx
-from curata.operators import cluster, decide, evaluate, neardup, sampling, scans
+from curata.operators import decide, evaluate, neardup, sampling, scans
 from curata.plans import extended, persisted, portable
 from curata.sources.tables import TABLES, load, register
 from curata.streaming import votes
@@ -171,15 +171,9 @@ def _near(spark, sf_dir):
     return vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").alias("block"), (F.col("vec_id") % 3).alias("label"), "unit", "bits")
 
 
-def _links(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    links = neardup.near_pairs(rows, "vec_id", "label", COS, HAM).select("a", "b")
-    return rows.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).alias("label")), links
-
-
 @query(GREEDY)
 def greedy_dedup(spark, sf_dir):
-    return cluster.greedy_dedup(*_links(spark, sf_dir))
+    return scans.greedy_dedup(_near(spark, sf_dir), "id", "block", "label", COS, HAM)
 
 
 @query(MERGED)
