@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.operators import neardup, ordered
+from curata.operators import neardup, ordered, scans
 from curata.operators.scans import CONFLICT, DUPLICATE, KEPT, Sets
 from curata.operators.scratch import stored
 
@@ -222,8 +222,7 @@ def dedup_statuses(rows: DataFrame, key: str, label: str, source: str, priority:
 
     def scanned(some: DataFrame, place) -> DataFrame:
         numbered = stored(ordered.ranked(some.withColumn("_rank", place), ["_rank", key], "_place"))
-        pairs = neardup.near_pairs(numbered, "_place", None, *near).select("a", "b")
-        found = greedy_dedup(numbered.select(F.col("_place").alias("id"), F.col(label).alias("label")), pairs)
+        found = scans.greedy_dedup(numbered, "_place", None, label, *near)
         found = found.select(F.col("id").alias("_place"), F.element_at(names, F.col("status")).alias("_status"))
         return numbered.join(found, "_place").select(key, source, F.col("_status").alias("status"))
 
