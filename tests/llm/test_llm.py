@@ -470,6 +470,67 @@ def test_html_boilerplate_is_found_on_any_two_pages_of_a_host(spark):
     assert got == wanted and got[(5, "own5\n\ntail5")] == 1 and got[(9001, " ".join("z" * 40))] == 2
 
 
+def covered_by_loops(rows, depth):
+    """rows: page, host, tokens. Per row which tokens lie in a run of `depth` tokens on two pages of the host."""
+    on = collections.defaultdict(set)
+    for page, host, words in rows:
+        for i in range(len(words) - depth + 1):
+            on[host, tuple(words[i : i + depth])].add(page)
+    out = []
+    for _, host, words in rows:
+        hit = [False] * len(words)
+        for i in range(len(words) - depth + 1):
+            if len(on[host, tuple(words[i : i + depth])]) > 1:
+                hit[i : i + depth] = [True] * depth
+        out.append(hit)
+    return out
+
+
+def random_streams(seed):
+    """Streams over few words, so that runs repeat within and across pages, with repeated page ids, a null id and empty pages."""
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(120):
+        words = [f"w{k}" if k else "é" for k in rng.integers(0, 3 + i % 9, rng.integers(0, 60))] + ["z"] * (40 if i % 17 == 0 else 0)
+        rows.append((None if i % 40 == 7 else i // 2 if i % 5 == 0 else i, f"h{i % 3}", words))
+    return rows
+
+
+@pytest.mark.parametrize(("depth", "crowded"), [(1, False), (6, False), (6, True), (7, False)])
+def test_suffixes_dealt_by_anchors_make_the_whole_suffix_array(depth, crowded):
+    rows = random_streams(depth)
+    _, _, _, tokens, page = html_text.token_streams([[" ".join(w)] if w else [] for _, _, w in rows])
+    flat, starts = [w for _, _, words in rows for w in words], np.searchsorted(page, np.arange(len(rows)))
+    assert len(flat) == len(tokens)
+    at, key = html_text.anchors(tokens, page, np.array([hash(h) & 0xFFFF for _, h, _ in rows], np.uint64), depth)
+    first, end, own = html_text.cut_pieces(tokens, page, at, key.copy(), np.unique(key), np.unique(key) if crowded else key[:0], depth)
+    met = collections.defaultdict(dict)  # anchor: piece: rows
+    for a, b, k in zip(first.tolist(), end.tolist(), own.tolist(), strict=True):
+        assert page[a] == page[b - 1] and b - a >= depth and (b - a == depth or not crowded)
+        met[k].setdefault((rows[page[a]][1], " ".join(flat[a:b])), []).append(a)
+    got = [[False] * len(w) for _, _, w in rows]
+    for found in met.values():  # one array for each anchor: no suffix needs another anchor's
+        ids = [[rows[page[a]][0] for a in places] for places in found.values()]
+        low, high = ([f((i for i in own if i is not None), default=None) for own in ids] for f in (min, max))
+        bits = html_text.sorted_pieces([h for h, _ in found], [p for _, p in found], low, high, [None in own for own in ids], depth)
+        for (_, piece), places, covered in zip(found, found.values(), bits, strict=True):
+            for a in places:
+                for j, hit in enumerate(np.unpackbits(np.frombuffer(covered, np.uint8))[: piece.count(' ') + 1].tolist()):
+                    if hit:
+                        got[page[a]][a - starts[page[a]] + j] = True
+    assert got == covered_by_loops(rows, depth) and any(map(any, got)) and (depth == 1 or not all(map(all, got)))
+
+
+@pytest.mark.parametrize("crowd", [2, 4096])
+def test_html_suffix_array_equals_plain_loops(spark, crowd):
+    rows = random_streams(5)
+    pages = [(p, f"http://{h}/{i}", f"<article>{' '.join(w)}</article>" if i % 4 == 3 else f"<div>{' '.join(w)}</div>") for i, (p, h, w) in enumerate(rows)]
+    got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), 6, crowd, 16)
+    wanted = collections.Counter()
+    for (p, url, _), (_, _, words), hit in zip(pages, rows, covered_by_loops(rows, 6), strict=True):
+        wanted[p, url, " ".join(words if int(url.split("/")[-1]) % 4 == 3 else [w for w, c in zip(words, hit, strict=True) if not c])] += 1
+    assert collections.Counter((r.page_id, r.url, r.text) for r in got.collect()) == wanted
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (7, 7), (None, 1)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
