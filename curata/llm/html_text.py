@@ -7,7 +7,7 @@ distinct pages of the host are removed as boilerplate, and the unique runs stay.
 
 The suffix array of a host is never in one place. Each suffix is dealt by its anchor, the least hash of a few tokens in a row among its first
 `depth`, so suffixes that agree in `depth` tokens meet whatever the size of the host. Neighbouring suffixes mostly share an anchor and travel as one
-piece of text; pages first send their anchors only, and pieces only of those that stand on two rows. Equal pieces are reduced to one
+piece of text; pages first send their anchors only, and pieces only of those that stand on two rows, one of them undecided. Equal pieces are reduced to one
 before they meet, and each task sorts the suffixes of some anchors by prefix doubling (`repeated`). Suffixes of an anchor on more
 than `crowd` rows are dealt by all their `depth` tokens. A join brings the covered tokens back to the undecided pages. `shard_texts` does the same for
 pages in memory; tests compare both, and both with plain loops.
@@ -266,9 +266,9 @@ def slices(batch: pa.RecordBatch, rows: int = 64, chars: int = 1 << 20):
         yield batch.slice(a)
 
 
-def suffix_marks(some: DataFrame, depth: int, crowd: int, bucket: int) -> DataFrame:
-    """some: uid, page_id, host, site, undecided, blocks of whole hosts. Per undecided page with repeated runs: uid, marks (where a piece starts, its covered tokens)."""
-    id_type = some.schema["page_id"].dataType.simpleString()
+def suffix_marks(parsed: DataFrame, depth: int, crowd: int, bucket: int) -> DataFrame:
+    """parsed: uid, page_id, host, site, undecided, blocks. Per undecided page with repeated runs: uid, marks (where a piece starts, its covered tokens)."""
+    id_type = parsed.schema["page_id"].dataType.simpleString()
 
     def anchors_of(batches):
         for batch in batches:
@@ -282,7 +282,7 @@ def suffix_marks(some: DataFrame, depth: int, crowd: int, bucket: int) -> DataFr
                 key, of = key[order], of[order]
                 new = np.concatenate(([True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])))[: len(key)]
                 row = pa.array(of[new])
-                yield pa.RecordBatch.from_arrays([part.column(c).take(row) for c in ("uid", "page_id", "undecided")] + [pa.array(key[new])], ["uid", "page_id", "undecided", "k"])
+                yield pa.RecordBatch.from_arrays([part.column(c).take(row) for c in ("uid", "undecided")] + [pa.array(key[new])], ["uid", "undecided", "k"])
 
     def pieces_of(batches):
         for batch in batches:
@@ -303,11 +303,11 @@ def suffix_marks(some: DataFrame, depth: int, crowd: int, bucket: int) -> DataFr
         return out.filter(pc.greater(pc.binary_length(out.column("covered")), 0))
 
     pages_of = [F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.max(F.col("page_id").isNull()).alias("no_id")]
-    keys = some.mapInArrow(anchors_of, f"uid long, page_id {id_type}, undecided boolean, k long")
-    found = keys.groupBy("k").agg(*pages_of, F.count(F.lit(1)).alias("n"), F.max("undecided").alias("asked"))
-    found = found.where("asked and (low <> high or (no_id and low is not null))").select("k", (F.col("n") > crowd).alias("crowded"))
+    keys = parsed.mapInArrow(anchors_of, "uid long, undecided boolean, k long")
+    found = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("undecided").alias("asked"))
+    found = found.where("asked and n > 1").select("k", (F.col("n") > crowd).alias("crowded"))
     wanted = keys.select("uid", "k").join(found, "k").groupBy("uid").agg(F.collect_list("k").alias("wanted"), F.collect_list(F.when(F.col("crowded"), F.col("k"))).alias("crowded"))
-    pieces = some.join(wanted, "uid").mapInArrow(pieces_of, f"uid long, page_id {id_type}, host string, undecided boolean, at long, k long, piece binary")
+    pieces = parsed.join(wanted, "uid").mapInArrow(pieces_of, f"uid long, page_id {id_type}, host string, undecided boolean, at long, k long, piece binary")
     pieces = materialise(pieces.withColumn("h", F.xxhash64("piece")), "page_pieces")
     buckets = pieces.count() // bucket + 1
     distinct = pieces.groupBy("host", "k", "h", "piece").agg(*pages_of).withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)))
@@ -315,9 +315,9 @@ def suffix_marks(some: DataFrame, depth: int, crowd: int, bucket: int) -> DataFr
     return pieces.where("undecided").select("uid", "at", "k", "h").join(arrays, ["k", "h"]).groupBy("uid").agg(F.collect_list(F.struct("at", "covered")).alias("marks"))
 
 
-def extract(pages: DataFrame, depth: int = 16, crowd: int = 4096, bucket: int = 32768) -> DataFrame:
+def extract(pages: DataFrame, depth: int = 16, crowd: int = 4096, bucket: int = 32768, few: int = 10000) -> DataFrame:
     """pages: page_id, url, html. Per row: page_id, url, text, n_chars. crowd: rows that an anchor may stand on before its suffixes are dealt
-    apart; bucket: pieces that a task sorts at a time, about."""
+    apart; bucket: pieces that a task sorts at a time, about; few: hosts with undecided pages up to which the other hosts are left out beforehand."""
     id_type = pages.schema["page_id"].dataType.simpleString()
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html").withColumn("host", host).withColumn("site", F.xxhash64("host"))
@@ -353,7 +353,9 @@ def extract(pages: DataFrame, depth: int = 16, crowd: int = 4096, bucket: int =
     undecided = parsed.where("undecided")
     ready = parsed.withColumn("marks", F.lit(None).cast("array<struct<at:bigint,covered:binary>>"))
     if not undecided.isEmpty():
-        some = parsed.join(undecided.select("host").distinct(), "host", "left_semi").select("uid", "page_id", "host", "site", "undecided", "blocks")
+        some, hosts = parsed.select("uid", "page_id", "host", "site", "undecided", "blocks"), undecided.select("host").distinct()
+        if hosts.limit(few + 1).count() <= few:  # else a join would shuffle all texts to leave out some anchors
+            some = some.join(F.broadcast(hosts), "host", "left_semi")
         marks = suffix_marks(some, depth, crowd, bucket)
         ready = ready.where("not undecided").select(*wanted).unionByName(undecided.join(marks, "uid", "left").select(*wanted))
     return ready.select(*wanted).mapInArrow(solve, f"page_id {id_type}, url string, text string, n_chars long")
